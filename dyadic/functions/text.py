@@ -18,7 +18,8 @@ def _col(value: Column | str) -> Column:
 
 
 def normalize_sequence(text: Column | str) -> Column:
-    return F.regexp_replace(F.upper(F.trim(_col(text))), RARE_RESIDUES, RARE_REPLACEMENT)
+    stripped = F.regexp_replace(_col(text), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.upper(stripped), RARE_RESIDUES, RARE_REPLACEMENT)
 
 
 def char_counts(text: Column | str) -> Column:

@@ -82,11 +82,11 @@ def grid(left: DataFrame, right: DataFrame, block: int = GRID_BLOCK, limit: int
     rows = left.select(
         F.col("key").alias("a"),
         F.pmod(F.xxhash64("key"), F.lit(blocks_left)).alias("_i"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks_right - 1))).cast("bigint").alias("_j"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks_right - 1)).cast("array<bigint>")).alias("_j"),
     )
     cols = right.select(
         F.col("key").alias("b"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks_left - 1))).cast("bigint").alias("_i"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks_left - 1)).cast("array<bigint>")).alias("_i"),
         F.pmod(F.xxhash64("key"), F.lit(blocks_right)).alias("_j"),
     )
     return rows.join(cols, ["_i", "_j"]).select("a", "b")

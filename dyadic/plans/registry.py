@@ -1,0 +1,20 @@
+"""Registered queries, each next to the SQL that checks it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Register ``fn(spark, folder) -> DataFrame`` under ``name``."""
+
+    def register(fn: Callable) -> Callable:
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+
+    return register
