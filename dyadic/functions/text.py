@@ -86,12 +86,16 @@ def ngram_features(frame: DataFrame, key: str, text: str, n: int = 2, buckets: i
     Occurrences are summed per gram before hashing, so md5 runs once per distinct gram of a text.
     """
     padded = F.when(F.length(text) < n, F.rpad(F.col(text), n, "_")).otherwise(F.col(text))
-    grams = F.transform(
-        F.sequence(F.lit(1), F.length("_t") - F.lit(n - 1)), lambda i: F.substring(F.col("_t"), i, F.lit(n))
+    # Characters are split off once: taking substrings by position would rescan the text for every gram.
+    grams = let(
+        F.split(padded, ""),
+        lambda chars: F.transform(
+            F.sequence(F.lit(0), F.size(chars) - F.lit(n)),
+            lambda i: F.concat(*[F.get(chars, i + F.lit(j)) for j in range(n)]),
+        ),
     )
     per_gram = (
-        frame.select(F.col(key), padded.alias("_t"))
-        .select(key, F.explode(grams).alias("_gram"))
+        frame.select(key, F.explode(grams).alias("_gram"))
         .groupBy(key, "_gram")
         .agg(F.count("*").alias("_n"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dyadic.operators.regression_metrics import evaluate_regression
-from dyadic.plans import data_queries  # noqa: F401  (registers its queries)
+from dyadic.plans import data_queries, feature_queries, model_queries, report_queries  # noqa: F401  (register their queries)
 from dyadic.plans.inputs import item_data
 from dyadic.plans.registry import ORACLES, QUERIES  # noqa: F401
 from dyadic.predictors.factory import create_predictor

@@ -182,12 +182,12 @@ def _dense_grid(spark, folder, fill):
     return densify(grid(*_users_and_types(spark, folder)), high, fill)
 
 
-@query("grid_densify_zero", f"with {_GRID}, {_HIGH} select a, b, coalesce(y, 0.0) y from users, types left join high using (a, b)")
+@query("grid_densify_zero", f"with {_GRID}, {_HIGH} select a, b, coalesce(y, 0.0) y from (select * from users, types) g left join high using (a, b)")
 def grid_densify_zero(spark, folder):
     return _dense_grid(spark, folder, "zero")
 
 
-@query("grid_densify_null", f"with {_GRID}, {_HIGH} select a, b, y from users, types left join high using (a, b)")
+@query("grid_densify_null", f"with {_GRID}, {_HIGH} select a, b, y from (select * from users, types) g left join high using (a, b)")
 def grid_densify_null(spark, folder):
     return _dense_grid(spark, folder, "null")
 

@@ -127,8 +127,8 @@ def run_records(spark: SparkSession, folder: str) -> DataFrame:
                     pick(["FULL", "NO_CAUSAL", "NO_IRM", "NO_CF", "NO_MAS"], "event_id"),
                     F.concat(F.lit("S"), (k % 3 + 10).cast("string"))).alias("run_name"),
         F.format_string("runs/%012d/summary.json", "event_id").alias("summary_path"),
-        F.when(k % 10 == 0, "nan").when(k % 10 == 1, "n/a").otherwise(F.round(F.col("value") / 500, 4).cast("string")).alias("ci"),
-        F.round(F.col("value") / 100, 4).cast("string").alias("rmse"),
+        F.when(k % 10 == 0, "nan").when(k % 10 == 1, "n/a").otherwise(F.format_string("%.5f", F.col("value") / 500)).alias("ci"),
+        F.format_string("%.4f", F.col("value") / 100).alias("rmse"),
         F.when(k % 7 == 0, "FAILED").otherwise("PASS").alias("status"),
         "event_id",
     )
@@ -139,8 +139,8 @@ _PICK_ABLATION = "['FULL','NO_CAUSAL','NO_IRM','NO_CF','NO_MAS'][(event_id % 5)
 _K = "cast(json_extract_string(props, '$.k') as int)"
 RUNS = f"""runs as (select 'PAIR_EVAL_' || upper(event_type) || '_' || {_PICK_SPLIT} || '_' || {_PICK_ABLATION} || '_S' ||
  cast({_K} % 3 + 10 as varchar) run_name, printf('runs/%012d/summary.json', event_id) summary_path,
- case when {_K} % 10 = 0 then 'nan' when {_K} % 10 = 1 then 'n/a' else cast(round(value / 500, 4) as varchar) end ci,
- cast(round(value / 100, 4) as varchar) rmse, case when {_K} % 7 = 0 then 'FAILED' else 'PASS' end status, event_id
+ case when {_K} % 10 = 0 then 'nan' when {_K} % 10 = 1 then 'n/a' else printf('%.5f', value / 500) end ci,
+ printf('%.4f', value / 100) rmse, case when {_K} % 7 = 0 then 'FAILED' else 'PASS' end status, event_id
  from events)"""
 IDENTITY = """ident as (select *, string_split(run_name, '_') t, len(string_split(run_name, '_')) n from runs),
  named as (select * exclude (t, n), case when n < 6 then 'UNKNOWN' else t[3] end dataset,
