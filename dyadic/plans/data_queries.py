@@ -15,7 +15,7 @@ from dyadic.operators.pairs import PairData, densify, entity_index, first_conten
 from dyadic.operators.robustness import perturb, prediction_stats
 from dyadic.operators.splits import assign_environments, sample_exact, split_pairs
 from dyadic.plans.inputs import (
-    DENSE, ITEM_ORDER, ITEM_ORDER_DESC, ITEMS, LABELLED, METRIC_ROWS, SCORE_ROWS, dense_pairs, folds, item_pairs,
+    DENSE, ITEM_ORDER, ITEM_ORDER_DESC, ITEMS, LABELLED, METRIC_ROWS, SCORE_ROWS, corr_sql, dense_pairs, folds, item_pairs,
     labelled_pairs, metric_rows, parts, r9, score_rows, table,
 )
 from dyadic.plans.registry import query
@@ -233,8 +233,8 @@ def marginal_means_items(spark, folder):
     return marginal_means(item_pairs(spark, folder)).select("a", "b", r9("mean_y").alias("mean_y"), "n")
 
 
-@query("prediction_stats", f"""with {METRIC_ROWS} select round(avg(y_hat), 9) mean, round(stddev_pop(y_hat), 9) std,
- round(min(y_hat), 9) min, round(max(y_hat), 9) max from m""")
+@query("prediction_stats", f"""with {METRIC_ROWS} select round(avg(y_hat), 9) mean, round(sqrt(avg(pow(y_hat - e, 2))), 9) std,
+ round(min(y_hat), 9) min, round(max(y_hat), 9) max from m, (select avg(y_hat) e from m)""")
 def prediction_stats_items(spark, folder):
     return prediction_stats(metric_rows(spark, folder)).select(*[r9(c).alias(c) for c in ("mean", "std", "min", "max")])
 
@@ -244,7 +244,7 @@ def metric_mse_rmse(spark, folder):
     return regression_metrics.linear_metrics(metric_rows(spark, folder)).select(r9("mse", 6).alias("mse"), r9("rmse", 6).alias("rmse"))
 
 
-@query("metric_pearson", f"with {METRIC_ROWS} select round(corr(y, y_hat), 9) pearson from m")
+@query("metric_pearson", f"with {METRIC_ROWS} select round({corr_sql('m', 'y', 'y_hat')}, 9) pearson")
 def metric_pearson(spark, folder):
     return regression_metrics.linear_metrics(metric_rows(spark, folder)).select(r9("pearson").alias("pearson"))
 
@@ -258,7 +258,7 @@ def rank_average(spark, folder):
 
 
 @query("metric_spearman", f"""with {METRIC_ROWS}, r as (select {_RANK.format(c='y')} ry, {_RANK.format(c='y_hat')} rp from m)
- select round(corr(ry, rp), 9) spearman from r""")
+ select round({corr_sql('r', 'ry', 'rp')}, 9) spearman""")
 def metric_spearman(spark, folder):
     return regression_metrics.spearman(metric_rows(spark, folder).persist()).select(r9("spearman").alias("spearman"))
 
@@ -278,8 +278,8 @@ def metric_concordance(spark, folder):
 
 
 @query("evaluate_regression", f"""with {METRIC_ROWS}, {_CI}, r as (select *, {_RANK.format(c='y')} ry, {_RANK.format(c='y_hat')} rp from m)
- select round(avg(pow(y - y_hat, 2)), 6) mse, round(sqrt(avg(pow(y - y_hat, 2))), 6) rmse, round(corr(y, y_hat), 9) pearson,
- round(corr(ry, rp), 9) spearman, round(any_value(found / total), 9) ci, count(*) n_evaluated from r, ct, tt""")
+ select round(avg(pow(y - y_hat, 2)), 6) mse, round(sqrt(avg(pow(y - y_hat, 2))), 6) rmse, round({corr_sql('r', 'y', 'y_hat')}, 9) pearson,
+ round({corr_sql('r', 'ry', 'rp')}, 9) spearman, round(any_value(found / total), 9) ci, count(*) n_evaluated from r, ct, tt""")
 def evaluate_regression(spark, folder):
     found = regression_metrics.evaluate_regression(metric_rows(spark, folder))
     return found.select(r9("mse", 6).alias("mse"), r9("rmse", 6).alias("rmse"),

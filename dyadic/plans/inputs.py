@@ -153,3 +153,9 @@ NUM = "nullif(try_cast({c} as double), 'nan'::double)"
 
 def num(column: str) -> str:
     return NUM.format(c=column)
+
+
+def corr_sql(rows: str, x: str, y: str) -> str:
+    """Pearson correlation as a scalar subquery of plain centred sums."""
+    return f"""(select sum(({x} - ex) * ({y} - ey)) / sqrt(sum(pow({x} - ex, 2)) * sum(pow({y} - ey, 2)))
+ from {rows}, (select avg({x}) ex, avg({y}) ey from {rows}))"""

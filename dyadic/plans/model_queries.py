@@ -8,7 +8,7 @@ from dyadic.operators.least_squares import gram_sums
 from dyadic.operators.marginals import attach_marginals
 from dyadic.operators.pairs import PairData
 from dyadic.operators import robustness
-from dyadic.plans.feature_queries import _PRIOR
+from dyadic.plans.feature_queries import _PRIOR, _WIDE
 from dyadic.plans.inputs import (
     DENSE, LABELLED, dense_pairs, folds, gaussian_sql, hash_list, item_data, r9, table,
 )
@@ -98,6 +98,28 @@ def factor_sql(epochs: int) -> str:
     return ", ".join(out)
 
 
+def fit_sql(rows: str, columns: list[str], out: str) -> str:
+    """Least squares with a constant on up to three columns of ``rows`` (with y), by centred moments and cofactors."""
+    n = len(columns)
+    moments = [f"sum(({x} - e{i}) * ({z} - e{j})) s{i}{j}" for i, x in enumerate(columns) for j, z in enumerate(columns)]
+    moments += [f"sum(({x} - e{i}) * (y - ey)) m{i}" for i, x in enumerate(columns)]
+
+    def determinant(cells):
+        if len(cells) == 1:
+            return cells[0][0]
+        minors = [[row[:j] + row[j + 1:] for row in cells[1:]] for j in range(len(cells))]
+        return "(" + " ".join(f"{'-' if j % 2 else '+'} {cells[0][j]} * {determinant(m)}" for j, m in enumerate(minors)) + ")"
+
+    system = [[f"s{i}{j}" for j in range(n)] for i in range(n)]
+    betas = []
+    for k in range(n):
+        replaced = [[f"m{i}" if j == k else system[i][j] for j in range(n)] for i in range(n)]
+        betas.append(f"{determinant(replaced)} / {determinant(system)} b{k + 1}")
+    return (f"{out}e as (select avg(y) ey, {', '.join(f'avg({x}) e{i}' for i, x in enumerate(columns))} from {rows}), "
+            f"{out}m as (select any_value(ey) ey, {', '.join(f'any_value(e{i}) e{i}' for i in range(n))}, {', '.join(moments)} from {rows}, {out}e), {out}b as (select *, {', '.join(betas)} from {out}m), "
+            f"{out} as (select *, ey - {' - '.join(f'b{k + 1} * e{k}' for k in range(n))} b0 from {out}b)")
+
+
 _MF = {"latent_dim": _WIDTH, "lr": _LR, "seed": _SEED}
 _SPLIT = f"{LABELLED}, {folds('labelled')}"
 
@@ -116,9 +138,14 @@ def predict_mf(spark, folder):
     return found.scores.select("a", "b", r9("y_hat").alias("y_hat"))
 
 
-@query("predict_dual_view")
+# The fused score is a mix of the other columns while nothing is clipped, so it adds nothing to the fit.
+@query("predict_dual_view", f"""with {LABELLED}, {folds('labelled')}, {_WIDE}, rr as (select a, avg(y) rm from folds where fold = 'train' group by a),
+ cc as (select b, avg(y) cm from folds where fold = 'train' group by b), gg as (select avg(y) gm from folds where fold = 'train'),
+ x as materialized (select a, b, y, fold, least(1, (coalesce(d, 0) + 1) * 0.5::double) sim, coalesce(rm, gm) rm, coalesce(cm, gm) cm
+ from folds left join dots using (a, b) left join rr using (a) left join cc using (b), gg), xt as (select * from x where fold = 'train'),
+ {fit_sql('xt', ['sim', 'rm', 'cm'], 'fit')} select a, b, round(greatest(0, least(1, b0 + b1 * sim + b2 * rm + b3 * cm)), 6) y_hat from x, fit""")
 def predict_dual_view(spark, folder):
-    return create_predictor("dual_frozen_backbone")(item_data(spark, folder)).scores.select("a", "b", r9("y_hat").alias("y_hat"))
+    return create_predictor("dual_frozen_backbone")(item_data(spark, folder)).scores.select("a", "b", r9("y_hat", 6).alias("y_hat"))
 
 
 def _projected(vector, tag):
@@ -132,13 +159,13 @@ _ATTENTION = f"""ww as (select list({gaussian_sql("'42|query|' || i || '|' || j"
  qa as materialized (select a, {_projected('v', 'q')} q from av, ww), kb as materialized (select b, {_projected('v', 'k')} k from bv, ww),
  lg as materialized (select a, b, list_inner_product(q, k) / sqrt({_WIDTH}.0::double) x from qa, kb),
  sm as (select a, b, exp(x - max(x) over (partition by a)) er, exp(x - max(x) over (partition by b)) ec from lg),
- at as (select a, b, 0.5::double * (er / sum(er) over (partition by a) + ec / sum(ec) over (partition by b)) w from sm),
- tk as (select *, row_number() over (partition by a order by round(w, 15) desc, b) rn from at),
+ aw as (select a, b, 0.5::double * (er / sum(er) over (partition by a) + ec / sum(ec) over (partition by b)) w from sm),
+ tk as (select *, row_number() over (partition by a order by round(w, 15) desc, b) rn from aw),
  attn as materialized (select a, b, w / sum(w) over (partition by a) w from tk where rn <= 8)"""
 _ATTENTION_CONFIG = {**_MF, "epochs": 2, "top_k": 8}
 
 
-@query("attention_scores")
+@query("attention_scores", f"with {_PRIOR}, {_ATTENTION} select a, b, round(w, 8) w from attn")
 def attention_scores(spark, folder):
     members, lists = attention.attention_lists(item_data(spark, folder, split=False), _ATTENTION_CONFIG)
     return members.join(lists, "group").select(F.col("key").alias("a"), F.col("dst").alias("b"), r9("w", 8).alias("w"))
@@ -151,10 +178,14 @@ def topk_attention(spark, folder):
     return members.join(per_group, "group").select(F.col("key").alias("a"), "n_kept", r9("total", 6).alias("total"))
 
 
-@query("predict_cross_attention")
+@query("predict_cross_attention", f"""with {_SPLIT}, {factor_sql(2)}, {_PRIOR}, {_ATTENTION},
+ x as materialized (select f.a, f.b, y, fold, 1 / (1 + exp(-list_inner_product(p.v, q.v))) mf, coalesce(w, 0) attn
+ from folds f join a2 p on p.k = f.a join b2 q on q.k = f.b left join attn t on t.a = f.a and t.b = f.b),
+ xt as (select * from x where fold = 'train'), {fit_sql('xt', ['mf', 'attn'], 'fit')}
+ select a, b, round(greatest(0, least(1, b0 + b1 * mf + b2 * attn)), 6) y_hat from x, fit""")
 def predict_cross_attention(spark, folder):
     found = create_predictor({"name": "interaction_cross_attention", **_ATTENTION_CONFIG})(item_data(spark, folder))
-    return found.scores.select("a", "b", r9("y_hat").alias("y_hat"))
+    return found.scores.select("a", "b", r9("y_hat", 6).alias("y_hat"))
 
 
 @query("predict_char_encoder")
