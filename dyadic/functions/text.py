@@ -79,6 +79,26 @@ def hash_map(text: Column | str, width: int = 768) -> Column:
     )
 
 
+def char_rows(frame: DataFrame, key: str, text: str) -> DataFrame:
+    """One row ``(key, ch)`` per character of long texts, for aggregation by generated code.
+
+    Counts are complete within a map task already, so a shuffle moves one row per text and distinct value.
+    """
+    return frame.select(key, F.explode(F.split(F.col(text), "")).alias("ch")).where(F.col("ch") != "")
+
+
+def hash_features(frame: DataFrame, key: str, text: str, width: int = 16) -> DataFrame:
+    """Sparse form ``(key, bucket, w)`` of :func:`hash_vector` for long texts."""
+    hits = char_rows(frame, key, text).groupBy(key, (F.ascii("ch") % F.lit(width)).alias("bucket")).agg(
+        F.count("*").cast("double").alias("n")
+    )
+    # At most ``width`` entries per text.
+    packed = hits.groupBy(key).agg(F.collect_list(F.struct("bucket", "n")).alias("_hits"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"))
+    return packed.select(key, "_norm", F.inline("_hits").alias("bucket", "n")).select(
+        key, "bucket", (F.col("n") / F.col("_norm")).alias("w")
+    )
+
+
 def ngram_features(frame: DataFrame, key: str, text: str, n: int = 2, buckets: int = 512,
                    normalize: bool = True) -> DataFrame:
     """Sparse hashed n-gram counts ``(key, bucket, w)``; short strings are padded with ``_`` to one gram.

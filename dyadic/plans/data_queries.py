@@ -22,7 +22,7 @@ from dyadic.plans.registry import query
 from dyadic.predictors.base import labels_look_binary
 from dyadic.predictors.mixhop import training_view
 from dyadic.reports import most_recent, newest, pivot_predictions
-from dyadic.session import cut_lineage
+from dyadic.session import cut_lineage, spread_scan
 from dyadic.sources.tables import clean_affinity, clean_binary, clean_regression
 
 
@@ -406,7 +406,8 @@ def masked_mean_pool(spark, folder):
  'ß', 'ss')), '[UZOB]', 'X', 'g') t from documents) select doc_id, md5(t) digest, length(t) n from x""")
 def seq_normalize(spark, folder):
     sequence = normalize_sequence("text")
-    return table(spark, folder, "documents").select("doc_id", F.md5(sequence).alias("digest"), F.length(sequence).cast("bigint").alias("n"))
+    docs = spread_scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.md5(sequence).alias("digest"), F.length(sequence).cast("bigint").alias("n"))
 
 
 @query("content_md5", "select doc_id, md5(text) digest, strlen(text) n_bytes from documents")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dyadic.functions.hashing import gaussian_matrix
-from dyadic.functions.text import char_counts, char_vocabulary, code_point_table, encode_chars, hash_vector, ngram_features
-from dyadic.functions.vectors import let, unit
+from dyadic.functions.text import (
+    char_rows, char_vocabulary, code_point_table, encode_chars, hash_features, ngram_features,
+)
+from dyadic.functions.vectors import unit
 from dyadic.operators.blocks import row_profile
 from dyadic.operators.graph import merge_equal, topk_neighbours
 from dyadic.operators.robustness import column_mask
@@ -14,7 +16,7 @@ from dyadic.plans.inputs import ITEMS, gaussian_sql, hash_list, item_data, r9, t
 from dyadic.plans.registry import query
 from dyadic.predictors.dual_view import lookup_embeddings, missing_embeddings, project, view_similarity
 from dyadic.predictors.simple import feature_prior
-from dyadic.session import cut_lineage
+from dyadic.session import cut_lineage, spread_scan
 
 _CHARS = "ch as (select doc_id, unnest(string_split(text, '')) c from documents), kept as (select * from ch where c <> '')"
 
@@ -22,9 +24,8 @@ _CHARS = "ch as (select doc_id, unnest(string_split(text, '')) c from documents)
 @query("char_hash_features", f"""with {_CHARS}, n as (select doc_id, unicode(c) % 16 bucket, count(*) n from kept group by 1, 2)
  select doc_id, cast(bucket as int) bucket, round(n / sqrt(sum(n * n::double) over (partition by doc_id)), 9) w from n""")
 def char_hash_features(spark, folder):
-    vectors = table(spark, folder, "documents").select("doc_id", hash_vector("text", 16).alias("v"))
-    sparse = vectors.select("doc_id", F.posexplode("v").alias("bucket", "w")).where("w > 0")
-    return sparse.withColumn("w", r9("w"))
+    docs = spread_scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return hash_features(docs, "doc_id", "text").withColumn("w", r9("w"))
 
 
 @query("ngram_hash_features", """with t as (select doc_id, string_split(case when length(text) < 2
@@ -33,7 +34,7 @@ def char_hash_features(spark, folder):
  n as (select doc_id, ('0x' || substr(md5(g), 1, 8))::bigint % 512 bucket, count(*) n from g group by 1, 2)
  select doc_id, cast(bucket as int) bucket, round(n / sqrt(sum(n * n::double) over (partition by doc_id)), 9) w from n""")
 def ngram_hash_features(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread_scan(table(spark, folder, "documents").select("doc_id", "text"))
     return ngram_features(docs, "doc_id", "text").withColumn("w", r9("w"))
 
 
@@ -60,24 +61,17 @@ _POOL_WIDTH, _POOL_SEED = 4, 42
  e as (select c, d, {gaussian_sql(f"'{_POOL_SEED}|pool|' || id || '|' || d")} w from v, d)
  select doc_id, cast(d as int) dim, round(sum(n * w) / sum(n), 9) as value from n join e using (c) group by doc_id, d""")
 def char_mean_pool(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = spread_scan(table(spark, folder, "documents").select("doc_id", "text"))
     vocabulary = cut_lineage(char_vocabulary(docs, "text"))
     ids, size = code_point_table(vocabulary), vocabulary.count()
     weights = gaussian_matrix(_POOL_SEED, "pool", size + 1, _POOL_WIDTH)
     columns = [F.split(F.lit(",".join(repr(row[d]) for row in weights)), ",").cast("array<double>") for d in range(_POOL_WIDTH)]
-
-    def pooled(counts):
-        length = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c["n"])
-
-        def weighted(weights):
-            return F.aggregate(
-                counts, F.lit(0.0), lambda acc, c: acc + c["n"] * F.get(weights, F.get(ids, F.ascii(c["ch"])))
-            )
-
-        return F.array(*[weighted(w) / length for w in columns])
-
-    rows = docs.select("doc_id", let(char_counts("text"), pooled).alias("p"))
-    return rows.select("doc_id", F.posexplode("p").alias("dim", "value")).withColumn("value", r9("value"))
+    counts = char_rows(docs, "doc_id", "text").groupBy("doc_id", F.ascii("ch").alias("cp")).agg(F.count("*").alias("n"))
+    token = F.get(ids, F.col("cp"))
+    pooled = counts.groupBy("doc_id").agg(
+        F.array(*[F.sum(F.col("n") * F.get(c, token)) / F.sum("n") for c in columns]).alias("p")
+    )
+    return pooled.select("doc_id", F.posexplode("p").alias("dim", "value")).withColumn("value", r9("value"))
 
 
 @query("column_mask", """with p as (select distinct unnest(range(len(embedding))) position from embeddings),

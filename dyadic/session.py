@@ -46,3 +46,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/dyadic-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer partitions than cores over all of them before heavy per-row work.
+
+    A large input has plenty of splits and is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
