@@ -59,7 +59,11 @@ def reduce_blocks(
 ) -> DataFrame:
     """Apply ``body`` to every block pair; a task holds exactly two blocks at a time."""
 
+    names = [field.split()[0] for field in schema.split(", ")]
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:  # no vector was dealt into this block
+            return pd.DataFrame(columns=names)
         return body(pd.concat([left.iloc[0], right.iloc[0].drop(["l_block", "r_block"])]))
 
     keys = ["l_block", "r_block"]
