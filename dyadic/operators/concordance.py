@@ -1,25 +1,31 @@
 """Exact concordance index without comparing all pairs.
 
-CI is the share of pairs ordered by truth that the prediction orders the same way, ties counting half. Both
-columns are cut into value ranges, frequent values getting ranges of their own. A pair of rows then falls into
-exactly one of three cases:
+CI is the share of pairs ordered by truth that the prediction orders the same way, ties counting half. A problem that
+is too large for one task is cut into value ranges of both columns, frequent values getting ranges of their own.
+A pair of rows then falls into exactly one of three cases:
 
 * different truth range and different prediction range: decided by a histogram of the ranges alone;
 * same prediction range: decided inside that range (or, for a range with a single value, a tie);
 * same truth range: decided inside that range (nothing to do for a single value).
 
-A range holds a bounded share of the rows, so each is counted by one task with a merge-style count in
-O(m log m); the histogram is bounded by the number of ranges. No row is sampled away.
+Each range is a problem of the same kind, about a hundred times smaller, and is cut again until it fits a task,
+where a merge-style count takes O(m log m). Rows are neither sampled nor capped, and no task or histogram grows with
+the data.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dyadic.operators.ordering import Ranges, measure_ranges
+from dyadic.functions.vectors import let
+from dyadic.session import cut_lineage
+
+LOCAL_ROWS = 200_000  # distinct (truth, prediction) combinations counted by one task
+RANGES = 256
+BROADCAST_PARTS = 4_096  # with two lists of RANGES - 1 bounds each: about 16 MB
 
 
 def weighted_concordant(primary: np.ndarray, secondary: np.ndarray, weight: np.ndarray) -> float:
@@ -57,8 +63,8 @@ def _count_range(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def _count_histogram(cells: pd.DataFrame) -> pd.DataFrame:
-    rows, row_at = np.unique(cells["gy"].to_numpy(), return_inverse=True)
-    cols, col_at = np.unique(cells["gp"].to_numpy(), return_inverse=True)
+    rows, row_at = np.unique(cells["gu"].to_numpy(), return_inverse=True)
+    cols, col_at = np.unique(cells["gv"].to_numpy(), return_inverse=True)
     table = np.zeros((len(rows), len(cols)))
     table[row_at, col_at] = cells["c"].to_numpy()
     earlier_rows = np.cumsum(table, axis=0) - table
@@ -68,35 +74,66 @@ def _count_histogram(cells: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"concordant": [found]})
 
 
-def concordance(frame: DataFrame, measured: tuple[int, dict[str, Ranges]] | None = None) -> DataFrame:
-    """One row with ``ci``: 0 for fewer than two rows, 0.5 when no pair is ordered by truth."""
-    n, ranges = measured or measure_ranges(frame, ["y", "y_hat"])
-    counts = frame.groupBy("y", "y_hat").agg(F.count("*").cast("double").alias("c"))
-    placed = counts.select(
-        "y", "y_hat", "c",
-        ranges["y"].bucket("y").alias("gy"),
-        ranges["y_hat"].bucket("y_hat").alias("gp"),
+def _place(value: str, bounds: str) -> Column:
+    """Range number of a value among the quantiles of its part; odd for a frequent value (a repeated quantile)."""
+    strides = [2**k for k in reversed(range(RANGES.bit_length() - 1))]
+    at = F.aggregate(
+        F.array(*[F.lit(s) for s in strides]),
+        F.lit(0),
+        lambda pos, s: F.when(F.get(bounds, pos + s - 1) < F.col(value), pos + s).otherwise(pos),
+    )
+    repeated = lambda pos: (F.get(bounds, pos) == F.col(value)) & (F.get(bounds, pos + 1) == F.col(value))
+    return let(at, lambda pos: pos * 2 + F.when(repeated(pos), 1).otherwise(0))
+
+
+def _split(problem: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Histogram cells and the smaller problems of all large parts."""
+    probs = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
+    inside = problem.join(large, "part", "left_semi")
+    bounds = inside.groupBy("part").agg(
+        *[F.expr(f"percentile_approx({c}, array({probs}), {4 * RANGES})").alias(f"_b{c}") for c in ("u", "v")]
     )
-    work = (
-        placed.where(~Ranges.is_single(F.col("gy")))
-        .select(F.lit("y").alias("kind"), F.col("gy").alias("part"), F.col("y").alias("u"),
-                F.col("y_hat").alias("v"), "c")
+    bounds = cut_lineage(bounds)
+    # While parts are few they are large, and their bounds are small enough to send to every task.
+    bounds = F.broadcast(bounds) if bounds.count() <= BROADCAST_PARTS else bounds
+    placed = cut_lineage(
+        inside.join(bounds, "part").select("part", "u", "v", "c", _place("u", "_bu").alias("gu"), _place("v", "_bv").alias("gv"))
     )
+    cells = placed.groupBy("part", "gu", "gv").agg(F.sum("c").alias("c"))
+    same_truth = placed.where(F.col("gu") % 2 == 0).select(
+        F.concat_ws("/", "part", F.concat(F.lit("t"), "gu")).alias("part"), "u", "v", "c"
+    )
+    same_score = (
+        placed.where(F.col("gv") % 2 == 0)
+        .groupBy("part", "gv", "gu", "v").agg(F.sum("c").alias("c"))
+        .select(F.concat_ws("/", "part", F.concat(F.lit("s"), "gv")).alias("part"), F.col("gu").cast("double").alias("u"), "v", "c")
+    )
+    return cells, cut_lineage(same_truth.unionByName(same_score))
+
+
+def concordance(frame: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """One row with ``ci``: 0 for fewer than two rows, 0.5 when no pair is ordered by truth."""
+    n = frame.count()
+    counts = frame.groupBy("y", "y_hat").agg(F.count("*").cast("double").alias("c"))
+    if n > local_rows:
+        counts = cut_lineage(counts)
+    problem = counts.select(F.lit("").alias("part"), F.col("y").alias("u"), F.col("y_hat").alias("v"), "c")
     schema = "concordant double"
-    if ranges["y"].bounds:
-        inside_prediction = (
-            placed.where(~Ranges.is_single(F.col("gp")))
-            .groupBy("gp", "gy", "y_hat")
-            .agg(F.sum("c").alias("c"))
-            .select(F.lit("p").alias("kind"), F.col("gp").alias("part"), F.col("gy").cast("double").alias("u"),
-                    F.col("y_hat").alias("v"), "c")
-        )
-        work = work.unionByName(inside_prediction)
-    parts = work.groupBy("kind", "part").applyInPandas(_count_range, schema)
-    if ranges["y"].bounds and ranges["y_hat"].bounds:
-        # At most (2 * MAX_RANGES + 1) ** 2 cells: one task with one small matrix.
-        cells = placed.groupBy("gy", "gp").agg(F.sum("c").alias("c"))
-        parts = parts.unionByName(cells.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_count_histogram, schema))
+    parts = problem.limit(0).select(F.lit(0.0).alias("concordant"))
+    rows = n
+    while rows > local_rows:
+        sizes = problem.groupBy("part").count().where(F.col("count") > local_rows).select("part")
+        large = cut_lineage(sizes)
+        n_large = large.count()
+        if not n_large:
+            break
+        large = F.broadcast(large) if n_large <= BROADCAST_PARTS else large
+        small = problem.join(large, "part", "left_anti")
+        cells, smaller = _split(problem, large)
+        parts = parts.unionByName(small.groupBy("part").applyInPandas(_count_range, schema))
+        parts = parts.unionByName(cells.groupBy("part").applyInPandas(_count_histogram, schema))
+        problem, rows = smaller, smaller.count()
+    parts = parts.unionByName(problem.groupBy("part").applyInPandas(_count_range, schema))
     per_truth = counts.groupBy("y").agg(F.sum("c").alias("c"))
     same_truth = per_truth.agg(F.sum(F.col("c") * F.col("c")).alias("s")).scalar()
     ordered = (F.lit(float(n)) * F.lit(float(n)) - same_truth) / 2.0

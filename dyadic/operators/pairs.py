@@ -31,6 +31,7 @@ class PairData:
     left: DataFrame
     right: DataFrame
     meta: dict = field(default_factory=dict)
+    shared: dict = field(default_factory=dict, repr=False)  # results that depend on the entities only
 
     @cached_property
     def size(self) -> int:
@@ -47,7 +48,7 @@ class PairData:
         return self.pairs
 
     def with_pairs(self, pairs: DataFrame) -> PairData:
-        return PairData(pairs, self.left, self.right, dict(self.meta))
+        return PairData(pairs, self.left, self.right, dict(self.meta), self.shared)
 
 
 def last_write(rows: DataFrame, keys: list[str], value: Column | str, order: list[str], out: str = "y") -> DataFrame:

@@ -81,6 +81,6 @@ def evaluate_regression(frame: DataFrame) -> DataFrame:
     return linear_metrics(valid).select(
         "mse", "rmse", "pearson",
         spearman(valid, measured).scalar().alias("spearman"),
-        concordance(valid, measured).scalar().alias("ci"),
+        concordance(valid).scalar().alias("ci"),
         "n_evaluated",
     )

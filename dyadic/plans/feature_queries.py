@@ -10,7 +10,7 @@ from dyadic.functions.text import (
 )
 from dyadic.functions.vectors import unit
 from dyadic.operators.blocks import row_profile
-from dyadic.operators.graph import merge_equal, topk_neighbours
+from dyadic.operators.graph import merge_equal, topk_neighbours, with_groups
 from dyadic.operators.robustness import column_mask
 from dyadic.plans.inputs import ITEMS, gaussian_sql, hash_list, item_data, r9, table
 from dyadic.plans.registry import query
@@ -100,7 +100,7 @@ def cosine_all_pairs(spark, folder):
     """Similarity of all pairs, reported per vector: the total and the best other one."""
     groups = cut_lineage(merge_equal(_unit_embeddings(spark, folder), 2))
     profile = row_profile(groups, groups)
-    members = _unit_embeddings(spark, folder).join(groups.select("vec", "id", "n"), "vec")
+    members = with_groups(_unit_embeddings(spark, folder), groups.select("vec", "id", "n"))
     twin = F.when(F.col("n") > 1, F.lit(1.0)).otherwise(F.col("best_other"))
     return members.join(profile, "id").select("key", r9("total", 6).alias("total"), r9(twin).alias("best_other"))
 

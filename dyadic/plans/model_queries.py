@@ -160,7 +160,7 @@ _ATTENTION = f"""ww as (select list({gaussian_sql("'42|query|' || i || '|' || j"
  lg as materialized (select a, b, list_inner_product(q, k) / sqrt({_WIDTH}.0::double) x from qa, kb),
  sm as (select a, b, exp(x - max(x) over (partition by a)) er, exp(x - max(x) over (partition by b)) ec from lg),
  aw as (select a, b, 0.5::double * (er / sum(er) over (partition by a) + ec / sum(ec) over (partition by b)) w from sm),
- tk as (select *, row_number() over (partition by a order by round(w, 15) desc, b) rn from aw),
+ tk as (select *, row_number() over (partition by a order by round(w, 12) desc, b) rn from aw),
  attn as materialized (select a, b, w / sum(w) over (partition by a) w from tk where rn <= 8)"""
 _ATTENTION_CONFIG = {**_MF, "epochs": 2, "top_k": 8}
 

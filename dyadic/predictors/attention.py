@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from dyadic.functions.hashing import gaussian_matrix
 from dyadic.functions.numeric import FLOOR
 from dyadic.operators.blocks import BLOCK, best_per_row, block_pairs, matrix, reduce_blocks
-from dyadic.operators.graph import merge_equal
+from dyadic.operators.graph import merge_equal, with_groups
 from dyadic.operators.least_squares import fit_linear, linear_value
 from dyadic.operators.pairs import PairData
 from dyadic.predictors import factorization
@@ -107,7 +107,7 @@ def attention_lists(data: PairData, config: dict, block: int = BLOCK) -> tuple[D
     kept = first(entities, "dst")
     sums = kept.groupBy("id").agg(F.greatest(F.sum("attn"), F.lit(FLOOR)).alias("_sum"))
     lists = kept.join(sums, "id").select(F.col("id").alias("group"), "dst", (F.col("attn") / F.col("_sum")).alias("w"))
-    members = left_features.join(left.select("vec", F.col("id").alias("group")), "vec").select("key", "group")
+    members = with_groups(left_features, left.select("vec", F.col("id").alias("group"))).select("key", "group")
     return cut_lineage(members), cut_lineage(lists)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +27,14 @@ def local_session(cores: int | str = 8, app: str = "dyadic") -> SparkSession:
     return spark
 
 
+@lru_cache(maxsize=1)
+def _fallback_folder() -> str:
+    return tempfile.mkdtemp(prefix="run-")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the session names; a fresh local one only where it names none (unit tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _fallback_folder()).rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
