@@ -27,7 +27,7 @@ def attach_marginals(data: PairData, targets: DataFrame) -> DataFrame:
     overall = F.coalesce(train.agg(F.avg("y")).scalar(), F.lit(EMPTY_MEAN))
     rows = train.groupBy("a").agg(F.avg("y").alias("row_mean"))
     cols = train.groupBy("b").agg(F.avg("y").alias("col_mean"))
-    joined = lookup(lookup(targets, rows, "a", data.hot["a"]), cols, "b", data.hot["b"])
+    joined = lookup(lookup(targets, rows, "a", data.hot["a"], ["b"]), cols, "b", data.hot["b"], ["a"])
     return (
         joined.withColumn("all_mean", overall)
         .withColumn("row_mean", F.coalesce("row_mean", "all_mean"))

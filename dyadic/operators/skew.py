@@ -94,6 +94,7 @@ def lookup(
     """
     if hot is None or not hot.pieces:
         return facts.join(table, key, how)
-    spread = spread_by or [c for c in facts.columns if c != key]
+    nested = (T.MapType, T.ArrayType, T.StructType)
+    spread = spread_by or [f.name for f in facts.schema if f.name != key and not isinstance(f.dataType, nested)]
     joined = hot.salt(facts, spread).join(hot.repeat(table, key), [key, "_salt"], how)
     return joined.drop("_salt")

@@ -69,4 +69,5 @@ def hashed(entities: DataFrame, width: int = 16) -> DataFrame:
 
 def attach(data: PairData, cells: DataFrame, side: str, table: DataFrame) -> DataFrame:
     """Join an entity table (keyed ``key``) to the cells on side ``a`` or ``b``, hot entities salted."""
-    return lookup(cells, table.withColumnRenamed("key", side), side, data.hot[side])
+    other = "b" if side == "a" else "a"
+    return lookup(cells, table.withColumnRenamed("key", side), side, data.hot[side], [other])

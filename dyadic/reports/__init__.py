@@ -168,3 +168,16 @@ def pivot_predictions(scores: DataFrame, max_columns: int = 10_000) -> DataFrame
     if len(names) > max_columns:
         raise ValueError(f"more than {max_columns} columns; write the long form instead")
     return scores.groupBy("a").pivot("b", sorted(names)).agg(F.first(F.format_string("%.6f", "y_hat")))
+
+
+def to_markdown(table: DataFrame, columns: list[str], max_rows: int = 10_000) -> str:
+    """Markdown of an aggregated report; more than ``max_rows`` rows are refused, not cut."""
+    rows = table.select(*columns).limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"more than {max_rows} rows; write the table instead")
+
+    def cell(value) -> str:
+        return "-" if value is None else f"{value:.4f}" if isinstance(value, float) else str(value)
+
+    lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in row) + " |" for row in rows]) + "\n"

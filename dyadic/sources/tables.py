@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from dyadic.functions.numeric import affinity_label, coerce_number, is_finite
 from dyadic.operators.pairs import PairData, entity_index, first_content, last_write
+from dyadic.operators.skew import lookup
 
 # Column names of the flat layouts, their accepted aliases, and the text triplet's file names.
 LEFT_ID, LEFT_TEXT, RIGHT_ID, RIGHT_TEXT, VALUE, LABEL = "Drug_ID", "Drug", "Target_ID", "Target", "Y", "Label"
@@ -276,3 +277,16 @@ def read_summaries(spark: SparkSession, pattern: str) -> DataFrame:
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
+
+
+def canonical_rows(data: PairData) -> DataFrame:
+    """Pairs in the flat layout, with the texts of both entities."""
+    left = data.left.select(F.col("key").alias("a"), F.col("content").alias(LEFT_TEXT))
+    right = data.right.select(F.col("key").alias("b"), F.col("content").alias(RIGHT_TEXT))
+    rows = lookup(lookup(data.pairs.select("a", "b", "y"), left, "a", data.hot["a"]), right, "b", data.hot["b"])
+    return rows.select(F.col("a").alias(LEFT_ID), LEFT_TEXT, F.col("b").alias(RIGHT_ID), RIGHT_TEXT, F.col("y").alias(VALUE))
+
+
+def write_canonical(data: PairData, path: str) -> None:
+    """Flat CSV part files, readable by :func:`read_regression` and :func:`read_affinity`."""
+    canonical_rows(data).write.option("header", True).csv(path)

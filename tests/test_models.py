@@ -8,6 +8,7 @@ from dyadic.functions.hashing import gaussian_matrix
 from dyadic.operators import robustness
 from dyadic.operators.graph import topk_neighbours
 from dyadic.operators.pairs import PairData
+from dyadic.operators.skew import find_hot_keys
 from dyadic.predictors import attention, char_encoder, dual_view, factorization, mixhop, simple
 from dyadic.predictors.factory import create_predictor
 
@@ -230,6 +231,17 @@ def test_char_encoder_follows_dense_descent(world, binary):
     np.testing.assert_allclose(grid_of(found.scores), expected, atol=1e-9)
 
 
+@pytest.mark.parametrize("model", [{"name": "simple_baseline"}, {"name": "mixhop_propagation"}, {"name": "dual_frozen_backbone"},
+                                   {"name": "matrix_factorization", "latent_dim": 2, "epochs": 2}])
+def test_salting_hot_entities_changes_nothing(world, model):
+    data, _, cells = world
+    salted = data.with_pairs(data.pairs)
+    salted.__dict__["hot"] = find_hot_keys(data.pairs, ["a", "b"], min_rows=1, share=9)
+    assert salted.hot["a"].pieces and salted.hot["b"].pieces and not data.hot["a"].pieces
+    predict = create_predictor(model)
+    np.testing.assert_allclose(grid_of(predict(salted, cells).scores), grid_of(predict(data, cells).scores), atol=1e-12)
+
+
 def test_models_without_training_pairs(world):
     data, _, cells = world
     nothing = data.with_pairs(data.pairs.withColumn("fold", F.lit("test")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dyadic import reports
 from dyadic.runs import artifacts, checks, config, matrix
 from dyadic.runs.runner import dry_run, run_all, run_once
-from dyadic.sources.tables import load_pairs, read_summaries
+from dyadic.sources.tables import load_pairs, read_regression, read_summaries, write_canonical
 
 
 def write_csv(path, header, rows):
@@ -205,3 +205,18 @@ def test_wide_export_refuses_too_many_columns(spark, tmp_path):
         reports.pivot_predictions(scores, 1)
     with pytest.raises(RuntimeError):
         artifacts.write_factors(tmp_path, None)
+
+
+def test_canonical_rows_survive_a_round_trip(spark, tmp_path):
+    data = load_pairs(spark, "DAVIS", write_csv(tmp_path / "davis.csv", [*FLAT, "Y"], flat_rows()))
+    write_canonical(data, str(tmp_path / "flat"))
+    again = read_regression(spark, str(tmp_path / "flat"), "DAVIS")
+    for mine, other in ((data.pairs, again.pairs), (data.left, again.left), (data.right, again.right)):
+        assert mine.exceptAll(other).count() == 0 == other.exceptAll(mine).count()
+
+
+def test_markdown_of_a_report(spark):
+    table = spark.createDataFrame([("DAVIS", 0.123456), ("KIBA", None)], "dataset string, ci double").orderBy("dataset")
+    assert reports.to_markdown(table, ["dataset", "ci"]).splitlines()[2:] == ["| DAVIS | 0.1235 |", "| KIBA | - |"]
+    with pytest.raises(ValueError):
+        reports.to_markdown(table, ["dataset"], 1)
