@@ -165,6 +165,7 @@ def _users_and_types(spark, folder):
 
 _GRID = """users as (select distinct cast(user_id as varchar) a from events),
  types as (select distinct event_type b from events)"""
+# Every user has every event type; the pairs known here are those with a high value, so cells stay to be filled.
 _HIGH = """high as (select cast(user_id as varchar) a, event_type b, arg_max(value, event_id) y from events
  where value > 400 group by 1, 2)"""
 

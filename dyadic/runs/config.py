@@ -44,6 +44,7 @@ RULES = {
     "dataset": {
         "name": (_named(SOURCES), f"one of {', '.join(SOURCES)}"),
         "allow_placeholder": (lambda v: isinstance(v, bool), "a boolean"),
+        "fill": (lambda v: v is None or _named(["zero", "null"])(v), "zero or null"),
     },
     "model": {
         "name": (_named(PREDICTORS), f"one of {', '.join(sorted(PREDICTORS))}"),
