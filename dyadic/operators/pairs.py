@@ -70,7 +70,7 @@ def entity_index(entities: DataFrame) -> DataFrame:
 
 
 def grid(left: DataFrame, right: DataFrame, block: int = GRID_BLOCK, limit: int = GRID_LIMIT) -> DataFrame:
-    """Every (a, b) cell, the shape of the reference's dense result.
+    """Every (a, b) cell, the shape of a dense result.
 
     Both key sets are dealt into blocks and each left block is matched with each right block by an equi-join
     on the block pair, so a task holds ``block**2`` cells however large a side is. Nothing is broadcast and
