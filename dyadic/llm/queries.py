@@ -1,4 +1,4 @@
 """All queries of this package."""
 
-from dyadic.llm import scan_queries  # noqa: F401  (registers its queries)
+from dyadic.llm import native_queries, scan_queries  # noqa: F401  (register their queries)
 from dyadic.llm.registry import ORACLES, QUERIES  # noqa: F401
