@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dyadic.llm.ngram_join import jaccard_classes
 from dyadic.llm.registry import query
+from dyadic.llm.substring_dedup import repeated_words
 from dyadic.plans.inputs import table
 
 
@@ -14,3 +15,9 @@ from dyadic.plans.inputs import table
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard_classes(table(spark, folder, "documents"), ["doc_id"])
     return found.select("row.doc_id", F.col("n").alias("n_shingles"), F.col("class").alias("component_id"))
+
+
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeated_words(table(spark, folder, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_removed", F.col("digest").alias("kept_sha256"))
