@@ -401,3 +401,19 @@ def jaccard_classes(
     names = classed.where("n > 0").groupBy("label").agg(F.min(f"row.`{id}`").alias("class"))
     classed = classed.join(names, "label", "left")
     return classed.select("row", "tag", "n", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col(f"row.`{id}`")).alias("class"))
+
+
+def one_of_each_class(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` with one document of each class: the one with the smallest id (null last), then the smallest digest.
+
+    Documents without words stay. Of rows equal in id and text one stays.
+    """
+    classes = jaccard_classes(docs, [id], id, text, size, percent).select(F.col(f"row.`{id}`").alias("_id"), "tag", "n", "class")
+    empty = classes.where("n = 0").select("_id", "tag")
+    order = F.struct(F.col("_id").isNull(), "_id", "tag")
+    first = classes.where("n > 0").groupBy("class", F.when(F.col("class").isNull(), F.col("tag"))).agg(F.min(order).alias("first"))
+    kept = cut_lineage(first.select("first._id", "first.tag").union(empty).distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id}`").alias("_own"), F.xxhash64(F.col(f"`{text}`")).alias("_tag"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("tag"))
+    stay = rows.join(kept, same, "left_semi").dropDuplicates(["_own", "_tag"])
+    return stay.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
