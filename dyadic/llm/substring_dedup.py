@@ -98,7 +98,8 @@ def _paths(base: DataFrame, window: int) -> DataFrame:
     """Rows (doc, tag, low, start, end, first, last) of shared k-mers with the ends of their compacted paths."""
     rows = _kmer_rows(base, window)
     shared = rows.groupBy("kmer").agg(F.count("*").alias("times"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    shared = shared.where("low < high").drop("high")
+    # written, so that the join below deals both sides anew and Spark can split a very common k-mer
+    shared = cut_lineage(shared.where("low < high").drop("high"))
     found = cut_lineage(rows.join(shared, "kmer"))
     spans = found.where("span <> 0").groupBy("span").agg(F.count("*").alias("together"))
     joined = found.join(spans, "span", "left").select(
@@ -137,7 +138,7 @@ def repeated_words(docs: DataFrame, keep: list[str], id: str = "doc_id", text: s
     some = cut_lineage(texts.join(per_doc, ["doc", "tag"]))
     opened = some.where("size(open) > 0").select("doc", "tag", "text", "open")
     windows = _window_rows(opened, window)
-    lowest = windows.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "low")
+    lowest = cut_lineage(windows.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h", "low"))
     looked = windows.join(lowest, "h").where("low < doc").groupBy("doc", "tag").agg(F.collect_set("place").alias("places"))
     result = _removed(some.select("doc", "tag", "text", "settled").join(looked, ["doc", "tag"], "left"), window)
     plain = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("digest", T.StringType())])
