@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadic.session import cut_lineage
+
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
     """Rows (_id, _digest, at, h1, h2), one for each window."""
@@ -34,7 +36,8 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     windows = _windows(docs, window)
     place = F.struct("_id", "_digest", "at")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.where("first <> last").select("h1", "h2", "first")
+    # written, so that the join deals both sides anew and Spark can split a very common window
+    first = cut_lineage(first.where("first <> last").select("h1", "h2", "first"))
     later = windows.join(first, ["h1", "h2"]).where(place != F.col("first"))
     return later.groupBy("_id", "_digest").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 

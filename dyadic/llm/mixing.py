@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadic.session import cut_lineage
 
 BLOCKS = 64
 ROUNDS, HALVINGS = 5, 6
+SMALL = 100_000  # rows of a plan that is broadcast, some 10 MB
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -100,8 +101,6 @@ def mix_sources(
     plans = plans.withColumn("pass", F.explode(F.when(passes > 0, F.sequence(F.lit(1), passes.cast("int")))))
     plans = plans.withColumn("left", F.least("total", F.col("target") - F.col("total") * (F.col("pass") - 1)))
     # blocks of a pass in their own order, with the tokens before each; a window holds at most ``blocks`` rows
-    from pyspark.sql import Window
-
     order = Window.partitionBy("source", "pass").orderBy("rank_key", "block")
     blocks_of = plans.join(sums, "source").withColumn("rank_key", seeded(seed, "source", F.col("pass").cast("string"), F.col("block").cast("string")))
     blocks_of = blocks_of.select(
@@ -115,4 +114,7 @@ def mix_sources(
     last = last.where("used <= room").groupBy("source", "pass", "block").agg(F.max("order").alias("upto"))
     chosen = blocks_of.join(last, ["source", "pass", "block"], "left").select(
         "source", "block", "pass", "place", "weight", F.when(F.col("before") + F.col("tokens") <= F.col("left"), "~").otherwise(F.coalesce("upto", F.lit(""))).alias("upto"))
-    return rows.join(cut_lineage(chosen), ["source", "block"]).where("order <= upto").select("row", "tokens", "weight", "pass", "place")
+    chosen = cut_lineage(chosen)
+    if chosen.limit(SMALL + 1).count() <= SMALL:
+        chosen = F.broadcast(chosen)
+    return rows.join(chosen, ["source", "block"]).where("order <= upto").select("row", "tokens", "weight", "pass", "place")

@@ -356,6 +356,7 @@ def jaccard_classes(
     light = _forest(rare.join(vectors, "d").select("bucket", "d", "n", "vector"), percent)
     hot = buckets.where("bucket & 1 = 1")
     leaders = hot.groupBy("bucket").agg(F.min("d").alias("a"), F.max("d").alias("high")).where("a < high").select("bucket", "a")
+    leaders = cut_lineage(leaders)  # joins with written tables can be split where a key is very common
     heavy = hot.join(leaders, "bucket").select("a", F.col("d").alias("b")).where("a <> b")
     coarse = components(light.union(heavy))
     # the sets of documents in some component: texts travel once
@@ -388,7 +389,7 @@ def jaccard_classes(
         more = cut_lineage(_join_groups(again.select(group(2).alias("g"), "c", "d", "label", asked, "grams"), percent))
         edges = edges.union(more)
         rest = cut_lineage(_relabel(large, edges))
-        main = rest.groupBy("c", "label").agg(F.count("*").alias("n")).groupBy("c").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
+        main = cut_lineage(rest.groupBy("c", "label").agg(F.count("*").alias("n")).groupBy("c").agg(F.max(F.struct("n", "label"))["label"].alias("main")))
         outside = rest.join(main, "c").where("label <> main").drop("main")
         # documents outside the main class meet every block of their component, in blocks of their own
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -398,7 +399,7 @@ def jaccard_classes(
         edges = edges.union(cut_lineage(_join_groups(met.select("g", "c", "d", "label", "asked", "grams"), percent)))
     labels = components(edges).select(F.col("node").alias("d"), "label")
     classed = points.join(labels, "d", "left").withColumn("label", F.coalesce("label", "d"))
-    names = classed.where("n > 0").groupBy("label").agg(F.min(f"row.`{id}`").alias("class"))
+    names = cut_lineage(classed.where("n > 0").groupBy("label").agg(F.min(f"row.`{id}`").alias("class")))
     classed = classed.join(names, "label", "left")
     return classed.select("row", "tag", "n", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col(f"row.`{id}`")).alias("class"))
 
