@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node and its neighbours and then the label of that label, so the number
     of rounds follows the logarithm of the longest path for chains of labels. Every round is a written table.
     """
-    edges = edges.select("a", "b").where("a <> b")
+    edges = cut_lineage(edges.select("a", "b").where("a <> b"))
     both = cut_lineage(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:

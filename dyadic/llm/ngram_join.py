@@ -39,7 +39,7 @@ from dyadic.llm.words import SPACED_LOWER, WORD_BASE, Words, map_texts, mix, pie
 from dyadic.session import cut_lineage
 
 SKETCH = 1 << 18
-GROUPS = 64
+LEAST_GROUPS = 32
 FREQUENT = 512  # estimated documents from which an n-gram is salted
 SALTS = 64
 BLOCK_DOCS, BLOCK_TOKENS, LEAF = 512, 400_000, 32
@@ -75,10 +75,29 @@ def digests(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(counts == 0, 0, out).astype(np.uint64).view(np.int64)
 
 
-def group_counts(grams: np.ndarray, counts: np.ndarray, groups: int) -> np.ndarray:
+def group_number(n: np.ndarray) -> np.ndarray:
+    """Groups of a set of ``n`` n-grams: a power of two near a quarter of it, so that a count vector tells sets of any size
+    apart. Sets that may link differ by one step at most."""
+    return 1 << np.maximum(LEAST_GROUPS.bit_length() - 1, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) - 2)
+
+
+def count_vectors(grams: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Group counts of each set. The groups are the low bits of the hashes, so halves of a vector add up to fewer groups."""
+    width = group_number(counts)
+    begins = np.cumsum(width) - width
     owner = np.repeat(np.arange(len(counts)), counts)
-    slot = owner * groups + (grams % np.uint64(groups)).astype(np.int64)
-    return np.bincount(slot, minlength=len(counts) * groups).reshape(len(counts), groups).astype(np.int32)
+    slot = begins[owner] + (grams & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+    flat = np.bincount(slot, minlength=int(width.sum())).astype(np.int32)
+    return np.split(flat, begins[1:]) if len(counts) else []
+
+
+def coded(vector: np.ndarray) -> bytes:
+    """One byte a count where all fit, else four; the first byte tells which."""
+    return b"\1" + vector.astype(np.uint8).tobytes() if vector.max(initial=0) < 256 else b"\4" + vector.tobytes()
+
+
+def decoded(vector: bytes) -> np.ndarray:
+    return np.frombuffer(vector, dtype=np.uint8 if vector[0] == 1 else np.int32, offset=1).astype(np.int32)
 
 
 def may_link(bound: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -131,24 +150,52 @@ class PointTree:
         return at[may_link(bound, self.sizes[at], self.sizes[i], percent)]
 
 
+class Forest:
+    """Trees of the points of one block, one for each number of groups, with the points of the next number folded in."""
+
+    def __init__(self, vectors: list[np.ndarray], percent: int, sizes: np.ndarray):
+        self.percent, self.sizes, self.vectors = percent, sizes, vectors
+        self.width = np.array([len(v) for v in vectors])
+        self.trees: dict[int, tuple[np.ndarray, np.ndarray, PointTree]] = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero((self.width == w) | (self.width == 2 * w))
+            rows = np.array([self.folded(i, w) for i in at.tolist()])
+            place = np.full(len(vectors), -1)
+            place[at] = np.arange(len(at))
+            self.trees[w] = (at, place, PointTree(rows, sizes[at]))
+
+    def folded(self, i: int, width: int) -> np.ndarray:
+        return self.vectors[i].reshape(-1, width).sum(0)
+
+    def near(self, i: int, both_ways: bool = False) -> list[int]:
+        """Points that may link with ``i``; without ``both_ways`` those of fewer groups, which find ``i``, are left out."""
+        found: list[int] = []
+        own = int(self.width[i])
+        for w in (own, own // 2) if both_ways else (own,):
+            if w in self.trees:
+                at, place, tree = self.trees[w]
+                k = int(place[i])
+                for leaf in tree.near_leaves(tree.vectors[k], int(self.sizes[i]), self.percent).tolist():
+                    found += at[tree.near_points(k, leaf, self.percent)].tolist()
+        return found
+
+
 def join_block(sets: list[np.ndarray], labels: list[int], percent: int, asked: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that join the classes of a block; pairs inside one class are not verified. ``asked``: only these search."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    vectors = group_counts(np.concatenate(sets), sizes, 2 * GROUPS)
-    tree = PointTree(vectors, sizes)
+    forest = Forest(count_vectors(np.concatenate(sets), sizes), percent, sizes)
     classes, seen, found = Classes(len(sets)), {}, []
     for i, label in enumerate(labels):
         classes.join(seen.setdefault(label, i), i)
     for i in range(len(sets)) if asked is None else asked:
-        for leaf in tree.near_leaves(vectors[i], int(sizes[i]), percent).tolist():
-            for j in tree.near_points(i, leaf, percent).tolist():
-                if classes.of(i) != classes.of(j):
-                    a, b = sets[i], sets[j]
-                    at = np.searchsorted(a, b)
-                    common = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-                    if links(common, len(a), len(b), percent):
-                        classes.join(i, j)
-                        found.append((i, j))
+        for j in forest.near(i, asked is not None):
+            if classes.of(i) != classes.of(j):
+                a, b = sets[i], sets[j]
+                at = np.searchsorted(a, b)
+                common = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+                if links(common, len(a), len(b), percent):
+                    classes.join(i, j)
+                    found.append((i, j))
     return found
 
 
@@ -169,10 +216,8 @@ def _points(docs: DataFrame, keep: list[str], text: str, size: int) -> tuple[Dat
             for piece in pieces(batch):
                 grams, counts = ngram_sets(piece.column("text").to_pylist(), size)
                 sketch += np.bincount((grams >> np.uint64(46)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-                vectors = group_counts(grams, counts, GROUPS)
-                # as 16 bits where all counts fit, else 32
-                coded = pa.array([(v.astype(np.uint16) if v.max() < 65536 else v).tobytes() for v in vectors], pa.binary())
-                found = pa.StructArray.from_arrays([piece.column("tag"), pa.array(digests(grams, counts)), pa.array(counts, pa.int64()), coded], point.names)
+                vectors = pa.array([coded(v) for v in count_vectors(grams, counts)], pa.binary())
+                found = pa.StructArray.from_arrays([piece.column("tag"), pa.array(digests(grams, counts)), pa.array(counts, pa.int64()), vectors], point.names)
                 yield pa.RecordBatch.from_arrays([piece.column("row"), found, pa.nulls(len(counts), pa.binary())], schema.names)
         if row_type is not None:
             nothing = pa.struct(list(zip(point.names, kinds, strict=True)))
@@ -276,51 +321,49 @@ def _with_end(batches):
     yield None
 
 
-def _forest(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect, in each bucket, the points whose count vectors allow a link."""
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "d")
+def _possible_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect, in each bucket, the points whose count vectors allow a link.
 
-    def edges(ds, n, vectors):
-        tree, classes = PointTree(vectors, n), Classes(len(ds))
-        for i in range(len(ds)):
-            for leaf in tree.near_leaves(vectors[i], int(n[i]), percent).tolist():
-                for j in tree.near_points(i, leaf, percent).tolist():
-                    if j != i and classes.join(i, j):
-                        yield int(ds[i]), int(ds[j])
-
-    def flush(bucket):
-        ds = np.array([b[0] for b in bucket])
-        keep = np.concatenate(([True], ds[1:] != ds[:-1]))
-        n = np.array([b[1] for b in bucket])[keep]
-        vectors = np.array([decoded(b[2]) for b, k in zip(bucket, keep, strict=True) if k])
-        return list(edges(ds[keep], n, vectors)) if len(n) > 1 else []
+    A task joins the classes of all its buckets and returns one edge per document, to the first of its class.
+    """
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "d")
 
     def run(batches):
-        at, bucket, out = None, [], []
+        classes: dict[int, int] = {}
+
+        def of(d: int) -> int:
+            while classes.setdefault(d, d) != d:
+                classes[d] = d = classes[classes[d]]
+            return d
+
+        def connect(bucket: list) -> None:
+            points = {d: (n, v) for d, n, v in bucket}
+            ds = list(points)
+            if len(ds) > 1:
+                sizes = np.array([points[d][0] for d in ds], dtype=np.int64)
+                forest = Forest([decoded(points[d][1]) for d in ds], percent, sizes)
+                for i, d in enumerate(ds):
+                    for j in forest.near(i):
+                        a, b = of(d), of(ds[j])
+                        if a != b:
+                            classes[max(a, b)] = min(a, b)
+
+        at, bucket = None, []
         for batch in batches:
             for name, d, n, v in zip(*(batch.column(c).to_pylist() for c in ("bucket", "d", "n", "vector")), strict=True):
                 if name != at:
-                    out += flush(bucket) if bucket else []
+                    connect(bucket)
                     at, bucket = name, []
                 bucket.append((d, n, v))
-            if out:
-                yield _edge_batch(out)
-                out = []
-        out = flush(bucket) if bucket else []
-        if out:
-            yield _edge_batch(out)
+        connect(bucket)
+        pairs = [(of(d), d) for d in list(classes) if of(d) != d]
+        for k in range(0, len(pairs), 50_000):
+            part = pairs[k: k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-
-def decoded(vector: bytes) -> np.ndarray:
-    return np.frombuffer(vector, dtype=np.uint16 if len(vector) == 2 * GROUPS else np.int32).astype(np.int32)
-
-
 def _join_groups(rows: DataFrame, percent: int) -> DataFrame:
     """Links inside groups (g): rows (g, c, d, label, asked, grams) of one group meet in a task."""
 
@@ -353,7 +396,7 @@ def jaccard_classes(
     buckets = cut_lineage(_shared_buckets(rows))
     vectors = points.where("n > 0").groupBy("d").agg(F.first("n").alias("n"), F.first("vector").alias("vector"), F.min(f"row.`{id}`").alias("id"))
     rare = buckets.where("bucket & 1 = 0")
-    light = _forest(rare.join(vectors, "d").select("bucket", "d", "n", "vector"), percent)
+    light = _possible_links(rare.join(vectors, "d").select("bucket", "d", "n", "vector"), percent)
     hot = buckets.where("bucket & 1 = 1")
     leaders = hot.groupBy("bucket").agg(F.min("d").alias("a"), F.max("d").alias("high")).where("a < high").select("bucket", "a")
     leaders = cut_lineage(leaders)  # joins with written tables can be split where a key is very common
@@ -392,9 +435,12 @@ def jaccard_classes(
         main = cut_lineage(rest.groupBy("c", "label").agg(F.count("*").alias("n")).groupBy("c").agg(F.max(F.struct("n", "label"))["label"].alias("main")))
         outside = rest.join(main, "c").where("label <> main").drop("main")
         # documents outside the main class meet every block of their component, in blocks of their own
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        queries = outside.select("c", "d", "label", "grams", every.alias("x"), block(4).alias("y"), F.lit(True).alias("asked"))
-        held = rest.join(outside.select("c").distinct(), "c").select("c", "d", "label", "grams", block(3).alias("x"), every.alias("y"), F.lit(False).alias("asked"))
+        askers = outside.groupBy("c").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum(F.length("grams") / 8) / BLOCK_TOKENS)).cast("int").alias("askers"))
+        askers = cut_lineage(askers)
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        dealt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "d"), F.col(n)).cast("int")
+        queries = outside.join(askers, "c").select("c", "d", "label", "grams", every("blocks").alias("x"), dealt(4, "askers").alias("y"), F.lit(True).alias("asked"))
+        held = rest.join(askers, "c").select("c", "d", "label", "grams", dealt(3, "blocks").alias("x"), every("askers").alias("y"), F.lit(False).alias("asked"))
         met = queries.union(held).withColumn("g", F.concat_ws("/", F.col("c").cast("string"), F.col("x").cast("string"), F.col("y").cast("string")))
         edges = edges.union(cut_lineage(_join_groups(met.select("g", "c", "d", "label", "asked", "grams"), percent)))
     labels = components(edges).select(F.col("node").alias("d"), "label")
