@@ -15,7 +15,7 @@ coordinates), so documents are routed to many trees:
    a block, verifies surviving pairs of different classes on the sets themselves and joins classes. Components of several
    blocks are cut twice by different hashes; then every document outside the main class meets all blocks.
 
-Equal sets are one point throughout. Every step passes hashes; texts are read twice and shuffled once.
+Equal sets are one point throughout. Texts are read three times and never shuffled; every step passes hashes.
 
 Defined cases: null and empty texts and texts without words have empty sets and link with nothing. With fewer words
 than ``size`` the whole sequence is the only n-gram. Rows equal in id and text are alike. Null ids take part; a class
@@ -35,10 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dyadic.llm.components import components
-from dyadic.llm.words import SPACED_LOWER, WORD_BASE, Words, map_texts, mix, pieces, range_hash, range_sums
+from dyadic.llm.words import SPACED_LOWER, WORD_BASE, Words, mix, pieces, range_hash, range_sums
 from dyadic.session import cut_lineage
 
-SKETCH = 1 << 18
+SKETCH_BITS = 21
+SKETCH = 1 << SKETCH_BITS
+BITMAP_BUCKETS = 2048  # of 32768 bits: 8 MB
 LEAST_GROUPS = 32
 FREQUENT = 512  # estimated documents from which an n-gram is salted
 SALTS = 64
@@ -215,7 +217,7 @@ def _points(docs: DataFrame, keep: list[str], text: str, size: int) -> tuple[Dat
             row_type = batch.column("row").type
             for piece in pieces(batch):
                 grams, counts = ngram_sets(piece.column("text").to_pylist(), size)
-                sketch += np.bincount((grams >> np.uint64(46)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                sketch += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
                 vectors = pa.array([coded(v) for v in count_vectors(grams, counts)], pa.binary())
                 found = pa.StructArray.from_arrays([piece.column("tag"), pa.array(digests(grams, counts)), pa.array(counts, pa.int64()), vectors], point.names)
                 yield pa.RecordBatch.from_arrays([piece.column("row"), found, pa.nulls(len(counts), pa.binary())], schema.names)
@@ -243,7 +245,7 @@ def frequency_ranks(sketch: np.ndarray) -> np.ndarray:
     """Rank of each sketch slot: 0 for what cannot be told from a rare n-gram, then the logarithm of the excess."""
     middle = float(np.median(sketch))
     excess = sketch.astype(np.float64) - middle
-    return np.where(excess > 4 * math.sqrt(middle + 1), 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.int64)
+    return np.where(excess > 3 * math.sqrt(middle + 1), 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.int8)
 
 
 def _bucket_rows(docs: DataFrame, text: str, size: int, percent: int, ranks: np.ndarray) -> DataFrame:
@@ -255,7 +257,7 @@ def _bucket_rows(docs: DataFrame, text: str, size: int, percent: int, ranks: np.
         for batch in batches:
             for piece in pieces(batch):
                 grams, counts = ngram_sets(piece.column("text").to_pylist(), size)
-                rank = shared.value[(grams >> np.uint64(46)).astype(np.int64)]
+                rank = shared.value[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 owner = np.repeat(np.arange(len(counts)), counts)
                 order = np.lexsort((grams, rank, owner))
                 place = np.arange(len(grams)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -268,6 +270,34 @@ def _bucket_rows(docs: DataFrame, text: str, size: int, percent: int, ranks: np.
     return docs.select(F.col(f"`{text}`").cast("binary").alias("text")).mapInArrow(run, "key long, d long")
 
 
+def _sets_of(docs: DataFrame, text: str, size: int, wanted: DataFrame) -> DataFrame:
+    """Rows (d, grams) of the documents in ``wanted`` and of few others: a bitmap of fixed size tells most others apart
+    where texts are read, so that texts are not shuffled. Equal sets of one task count once."""
+    spot = F.col("d").bitwiseAND(F.lit(BITMAP_BUCKETS * 32768 - 1))  # digests are hashes: their low bits will do
+    bits = wanted.select(F.floor(spot / 32768).cast("int").alias("k"), (spot % 32768).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits"))
+    bitmap = np.zeros((BITMAP_BUCKETS, 4096), dtype=np.uint8)
+    for r in bits.collect():  # at most BITMAP_BUCKETS rows
+        bitmap[r.k] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(bitmap.tobytes(), 1))
+
+    def run(batches):
+        held = np.frombuffer(zlib.decompress(shared.value), dtype=np.uint8)
+        done: set[int] = set()  # copies in one task give one set
+        for batch in batches:
+            for piece in pieces(batch):
+                grams, counts = ngram_sets(piece.column("text").to_pylist(), size)
+                d = digests(grams, counts)
+                ends = np.cumsum(counts)
+                at = d & (BITMAP_BUCKETS * 32768 - 1)
+                mark = (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+                take = np.flatnonzero((mark == 1) & (counts > 0))
+                take = np.array([i for i in take.tolist() if not (int(d[i]) in done or done.add(int(d[i])))], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(d[take]), pa.array([grams[ends[i] - counts[i]: ends[i]].tobytes() for i in take.tolist()], pa.binary())], ["d", "grams"])
+
+    return docs.select(F.col(f"`{text}`").cast("binary").alias("text")).mapInArrow(run, "d long, grams binary")
+
+
 def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
 
@@ -394,7 +424,7 @@ def jaccard_classes(
     points, sketch = _points(docs, [id, *[c for c in keep if c != id]], text, size)
     rows = _bucket_rows(docs, text, size, percent, frequency_ranks(sketch))
     buckets = cut_lineage(_shared_buckets(rows))
-    vectors = points.where("n > 0").groupBy("d").agg(F.first("n").alias("n"), F.first("vector").alias("vector"), F.min(f"row.`{id}`").alias("id"))
+    vectors = points.where("n > 0").groupBy("d").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
     rare = buckets.where("bucket & 1 = 0")
     light = _possible_links(rare.join(vectors, "d").select("bucket", "d", "n", "vector"), percent)
     hot = buckets.where("bucket & 1 = 1")
@@ -402,25 +432,15 @@ def jaccard_classes(
     leaders = cut_lineage(leaders)  # joins with written tables can be split where a key is very common
     heavy = hot.join(leaders, "bucket").select("a", F.col("d").alias("b")).where("a <> b")
     coarse = components(light.union(heavy))
-    # the sets of documents in some component: texts travel once
-    wanted = vectors.join(coarse.select(F.col("node").alias("d"), F.col("label").alias("c")), "d").select("d", "c", "n", F.col("id").alias("_id"))
+    wanted = vectors.join(coarse.select(F.col("node").alias("d"), F.col("label").alias("c")), "d").select("d", "c", "n")
     wanted = cut_lineage(wanted)
-    named = docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("text"))
-    found = named.join(wanted, named["_id"].eqNullSafe(wanted["_id"])).select("d", "c", "text")
-    out = T.StructType([T.StructField("d", T.LongType()), T.StructField("grams", T.BinaryType())])
-
-    def work(texts):
-        grams, counts = ngram_sets(texts, size)
-        ends = np.cumsum(counts)
-        return [pa.array(digests(grams, counts)), pa.array([grams[b - c: b].tobytes() for b, c in zip(ends, counts, strict=True)], pa.binary())]
-
-    sets = map_texts(found, ["d", "c"], out, work).where("row.d = found.d").select("row.d", "row.c", "found.grams")
-    sets = cut_lineage(sets.withColumn("label", F.col("d")))
-    parts = sets.groupBy("c").agg(F.count("*").alias("docs"), F.sum(F.length("grams") / 8).alias("tokens"))
+    parts = wanted.groupBy("c").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
     parts = cut_lineage(parts.withColumn("blocks", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("tokens") / BLOCK_TOKENS)).cast("int")))
     totals = parts.agg(F.sum(F.when(F.col("blocks") == 1, F.col("tokens"))).alias("small"), F.max("blocks").alias("most")).first()
     bundles = 1 + int((totals.small or 0) // BLOCK_TOKENS)
-    sets = sets.join(parts.select("c", "blocks"), "c")
+    placed = cut_lineage(wanted.join(parts.select("c", "blocks"), "c").select("d", "c", "blocks"))
+    sets = _sets_of(docs, text, size, placed)
+    sets = cut_lineage(sets.join(placed, "d").withColumn("label", F.col("d")))
     block = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "d"), F.col("blocks")).cast("int")
     group = lambda seed: F.when(F.col("blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("c"), F.lit(bundles)))).otherwise(
         F.concat_ws("/", F.col("c").cast("string"), block(seed).cast("string")))
