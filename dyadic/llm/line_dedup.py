@@ -63,7 +63,8 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     starts = repeated_windows(base.select("_id", "_digest", "_lines"), window)
     starts = starts.select(F.col("_id").alias("_other"), F.col("_digest").alias("_other_digest"), "starts")
     same = F.col("_id").eqNullSafe(F.col("_other")) & (F.col("_digest") == F.col("_other_digest"))
-    joined = base.join(starts, same, "left")
+    # the lines are split again after the join, so that texts travel once
+    joined = base.drop("_lines").join(starts, same, "left").withColumn("_lines", F.split(F.col(f"row.`{text}`"), "\n"))
     kept = F.when(F.col("starts").isNull(), F.col("_lines")).otherwise(kept_lines(F.col("_lines"), F.col("starts"), window))
     n_lines = F.coalesce(F.size("_lines"), F.lit(0))
     n_lines = F.when(n_lines < 0, 0).otherwise(n_lines).cast("long")
