@@ -23,7 +23,8 @@ def is_finite(value: Column | str) -> Column:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
+    """``value`` kept within bounds; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high))))
 
 
 def safe_divide(numerator: Column, denominator: Column, default: float = 0.0) -> Column:

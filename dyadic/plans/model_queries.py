@@ -237,7 +237,7 @@ _SCORED = f"{_BASE}, scored as materialized (select a, b, y, p from folds join b
 _ENVS = """ev as (select a, ntile(4) over (order by md5('42|' || a)) env from (select distinct a from scored)),
  er as (select env, avg(pow(p - y, 2)) mse, count(*) n from scored join ev using (a) group by env),
  irm as (select case when count(*) < 2 then 0 else var_pop(mse) end l_irm, count(*) n_envs_used, sum(n) n_pairs from er)"""
-_SWAPS = """ps as (select a, b from scored where y > 0.5 order by md5('42|' || a || '|' || b) limit 1000),
+_SWAPS = """ps as (select a, b from scored where y > 0.5),
  ix as (select b, row_number() over (order by b) - 1 i, count(*) over () n from bv),
  sw as (select ps.a, ps.b, ('0x' || substr(md5('42|swap|' || ps.a || '|' || ps.b), 1, 8))::bigint % (n - 1) st, i from ps join ix using (b)),
  s2 as (select sw.a, sw.b, ix.b b_swap from sw join ix on ix.i = st + case when st >= sw.i then 1 else 0 end),

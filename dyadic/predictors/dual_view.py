@@ -19,16 +19,22 @@ DEFAULT_WIDTH = 768
 CALIBRATION = ["base", "sim", "row_mean", "col_mean"]
 
 
-def lookup_embeddings(entities: DataFrame, table: DataFrame | None, width: int = DEFAULT_WIDTH,
+def lookup_embeddings(entities: DataFrame, table: DataFrame | None, width: int | None = None,
                       key: str = "key", vector: str = "embedding") -> DataFrame:
-    """``(key, vec, is_missing)``: the stored vector of each entity, or its string hash at the same width.
+    """``(key, vec, is_missing)``: the stored vector of each entity, or its string hash at the table's width.
 
-    Vectors are found by key only; their order in the table never matters.
+    Vectors are found by key only; their order in the table never matters. Of several vectors of a key the largest
+    counts. A table of vectors of different widths raises. ``width`` counts where there is no stored vector.
     """
-    hashed = hash_vector(F.coalesce("content", F.lit("")), width)
     if table is None:
+        hashed = hash_vector(F.coalesce("content", F.lit("")), width or DEFAULT_WIDTH)
         return entities.select("key", hashed.alias("vec"), F.lit(True).alias("is_missing"))
     stored = table.select(F.col(key).cast("string").alias("key"), F.col(vector).cast("array<double>").alias("_v"))
+    sizes = stored.where("_v is not null").agg(F.min(F.size("_v")).alias("low"), F.max(F.size("_v")).alias("high")).first()
+    if sizes.low != sizes.high:
+        raise ValueError(f"stored vectors have between {sizes.low} and {sizes.high} components")
+    hashed = hash_vector(F.coalesce("content", F.lit("")), sizes.low or width or DEFAULT_WIDTH)
+    stored = stored.groupBy("key").agg(F.max("_v").alias("_v"))
     joined = entities.join(stored, "key", "left")
     return joined.select(
         "key",

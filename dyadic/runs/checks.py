@@ -37,7 +37,7 @@ def inspect_source(spark: SparkSession, name: str, path: str) -> dict:
     """Layout, columns and counts of a source; ``status`` is ok or error with a reason."""
     name = name.upper()
     affinity = name.startswith("BINDINGDB")
-    layout = ("csv", path) if affinity and os.path.isfile(path) else None if affinity else tables.resolve_layout(path, name)
+    layout = ("csv", path) if affinity and tables.path_exists(spark, path) else None if affinity else tables.resolve_layout(spark, path, name)
     if layout is None:
         return {"status": "error", "reason": f"no source files at {path}"}
     try:

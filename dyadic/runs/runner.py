@@ -101,7 +101,7 @@ def _run_data(spark: SparkSession, config: dict, data: PairData, folder: Path, b
     dataset = config["dataset"]
     fill = dataset.get("fill", "null" if binary else "zero")
     data = data.with_pairs(cut_lineage(data.pairs))
-    if fill == "zero" and not is_placeholder:
+    if fill == "zero" and not is_placeholder and not data.meta.get("all_cells_listed"):
         data = _dense(data)
     split = _split_of(config)
     if split and (binary or not is_placeholder):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,17 +23,20 @@ def local_session(cores: int | str = 8, app: str = "dyadic") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):  # one machine: its own folder will do
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
     return spark
 
 
-@lru_cache(maxsize=1)
-def _fallback_folder() -> str:
-    return tempfile.mkdtemp(prefix="run-")
-
-
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a fresh local one only where it names none (unit tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _fallback_folder()).rstrip("/")
+    """The shared folder that the session or its context names; without one nothing can be written for all executors."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else None
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

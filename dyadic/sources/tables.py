@@ -41,7 +41,7 @@ class SourceError(Exception):
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
     """CSV with all columns as strings, plus the row's place in the source (file, block, position)."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return raw.select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     ).withColumn("_line", F.monotonically_increasing_id())
@@ -194,38 +194,54 @@ def read_triplet(spark: SparkSession, folder: str, source: str) -> PairData:
     # Texts may repeat, so the line number is the key.
     keyed = placed.select(F.col("i").cast("string").alias("a"), F.col("j").cast("string").alias("b"), "y")
     entities = [s.select(F.col("idx").cast("string").alias("key"), F.col("value").alias("content")) for s in (left, right)]
-    return _tag(PairData(keyed.where(F.col("y").isNotNull()), *entities), source)
+    data = _tag(PairData(keyed.where(F.col("y").isNotNull()), *entities), source)
+    data.meta["all_cells_listed"] = True  # what is missing is unknown, not zero
+    return data
+
+
+def _status(spark: SparkSession, path: str) -> list:
+    """Hadoop's file states of a path or glob in any store that Spark reads; empty if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return list(found) if found is not None else []
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return bool(path) and bool(_status(spark, path))
 
 
-def resolve_layout(path: str, source: str) -> tuple[str, str] | None:
-    """('csv', file) or ('triplet', folder): a direct file, then <source>.csv in the folder, then the triplet."""
-    if os.path.isfile(path):
+def resolve_layout(spark: SparkSession, path: str, source: str) -> tuple[str, str] | None:
+    """('csv', path) or ('triplet', folder): a file or glob of files, then <source>.csv in the folder, then the triplet,
+    then a folder of CSV parts."""
+    found = _status(spark, path) if path else []
+    if not found:
+        return None
+    if not found[0].isDirectory():
         return "csv", path
     for name in (f"{source.lower()}.csv", f"{source.upper()}.csv"):
-        candidate = os.path.join(path, name)
-        if os.path.isfile(candidate):
-            return "csv", candidate
-    if all(os.path.isfile(os.path.join(path, name)) for name in TRIPLET):
+        if path_exists(spark, os.path.join(path, name)):
+            return "csv", os.path.join(path, name)
+    if all(path_exists(spark, os.path.join(path, name)) for name in TRIPLET):
         return "triplet", path
-    return None
+    return ("csv", path) if path_exists(spark, os.path.join(path, "*.csv*")) else None
 
 
 def _matrix_source(spark: SparkSession, path: str, source: str) -> PairData:
-    layout = resolve_layout(path, source)
+    layout = resolve_layout(spark, path, source)
     if layout is None:
         raise SourceError(f"nothing readable at {path}")
     return read_regression(spark, layout[1], source) if layout[0] == "csv" else read_triplet(spark, path, source)
 
 
 def _affinity_source(spark: SparkSession, path: str, source: str) -> PairData:
-    if not os.path.isfile(path):
-        raise SourceError(f"no file at {path}")
+    if not path_exists(spark, path):
+        raise SourceError(f"nothing at {path}")
     return read_affinity(spark, path, source)
 
 
 def _binary_source(spark: SparkSession, path: str, source: str) -> PairData:
-    if not os.path.isfile(path):
-        raise SourceError(f"no file at {path}")
+    if not path_exists(spark, path):
+        raise SourceError(f"nothing at {path}")
     return read_binary(spark, path, source)
 
 
