@@ -248,15 +248,27 @@ def frequency_ranks(sketch: np.ndarray) -> np.ndarray:
     return np.where(excess > 3 * math.sqrt(middle + 1), 1 + np.floor(np.log2(np.maximum(excess, 1))), 0).astype(np.int8)
 
 
+def _first_seen(d: np.ndarray, done: set[int]) -> np.ndarray:
+    """Which of the digests ``d`` are not in ``done`` yet nor earlier in ``d``; they are added to it."""
+    return np.array([x not in done and not done.add(x) for x in d.tolist()], dtype=bool)
+
+
 def _bucket_rows(docs: DataFrame, text: str, size: int, percent: int, ranks: np.ndarray) -> DataFrame:
-    """Rows (key, d): the rarest n-grams of each document; the lowest bit of a key tells a frequent n-gram."""
+    """Rows (key, d): the rarest n-grams of each document; the lowest bit of a key tells a frequent n-gram.
+
+    Equal sets of one task count once, so groups of copies send few rows to the tasks of their n-grams.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # fixed size
     frequent = 1 + int(math.log2(FREQUENT))
 
     def run(batches):
+        done: set[int] = set()
         for batch in batches:
             for piece in pieces(batch):
                 grams, counts = ngram_sets(piece.column("text").to_pylist(), size)
+                d = digests(grams, counts)
+                new = _first_seen(d, done) & (counts > 0)
+                grams, d, counts = grams[np.repeat(new, counts)], d[new], counts[new]
                 rank = shared.value[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 owner = np.repeat(np.arange(len(counts)), counts)
                 order = np.lexsort((grams, rank, owner))
@@ -265,7 +277,7 @@ def _bucket_rows(docs: DataFrame, text: str, size: int, percent: int, ranks: np.
                 take = order[place < prefix[owner]]
                 key = (grams[take] & ~np.uint64(1)) | (rank[take] >= frequent).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(digests(grams, counts)[owner[take]])], ["key", "d"])
+                    [pa.array(key.view(np.int64)), pa.array(d[owner[take]])], ["key", "d"])
 
     return docs.select(F.col(f"`{text}`").cast("binary").alias("text")).mapInArrow(run, "key long, d long")
 
@@ -291,7 +303,7 @@ def _sets_of(docs: DataFrame, text: str, size: int, wanted: DataFrame) -> DataFr
                 at = d & (BITMAP_BUCKETS * 32768 - 1)
                 mark = (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1
                 take = np.flatnonzero((mark == 1) & (counts > 0))
-                take = np.array([i for i in take.tolist() if not (int(d[i]) in done or done.add(int(d[i])))], dtype=np.int64)
+                take = take[_first_seen(d[take], done)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(d[take]), pa.array([grams[ends[i] - counts[i]: ends[i]].tobytes() for i in take.tolist()], pa.binary())], ["d", "grams"])
 
