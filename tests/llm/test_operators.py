@@ -65,6 +65,16 @@ def test_jaccard_classes_in_blocks(spark, corpus, monkeypatch):
     assert stay == sorted(i for i, (n, c) in want.items() if n == 0 or c == i)
 
 
+def test_copies_send_their_ngrams_once(spark):
+    """Copies in one task give one set of rows, and still all of them belong to one class."""
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(i, text) for i in range(50)] + [(60, None), (61, ""), (62, text + " more")], "doc_id long, text string").coalesce(1)
+    rows = ngram_join._bucket_rows(docs, "text", 5, 75, np.zeros(ngram_join.SKETCH, dtype=np.int8))
+    assert rows.groupBy("d").count().count() == 2 and rows.count() == rows.distinct().count()
+    got = {r.row.doc_id: r["class"] for r in ngram_join.jaccard_classes(docs, ["doc_id"]).collect()}
+    assert got == {**dict.fromkeys([*range(50), 62], 0), 60: 60, 61: 61}
+
+
 def test_substring_dedup(spark, corpus):
     docs = frame(spark, corpus)
     found = substring_dedup.repeated_words(docs.union(docs.where("doc_id = 45")), ["doc_id", "d"]).collect()
