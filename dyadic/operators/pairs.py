@@ -17,7 +17,6 @@ from dyadic.operators.ordering import sorted_position
 from dyadic.operators.skew import HotKeys, find_hot_keys
 
 GRID_BLOCK = 4096  # entities per side of a grid block
-GRID_LIMIT = 50_000_000_000
 
 
 @dataclass(frozen=True)
@@ -69,15 +68,15 @@ def entity_index(entities: DataFrame) -> DataFrame:
     return sorted_position(entities.select("key").distinct(), "key")
 
 
-def grid(left: DataFrame, right: DataFrame, block: int = GRID_BLOCK, limit: int = GRID_LIMIT) -> DataFrame:
+def grid(left: DataFrame, right: DataFrame, block: int = GRID_BLOCK, limit: int | None = None) -> DataFrame:
     """Every (a, b) cell, the shape of a dense result.
 
     Both key sets are dealt into blocks and each left block is matched with each right block by an equi-join
     on the block pair, so a task holds ``block**2`` cells however large a side is. Nothing is broadcast and
-    no task sees a whole side. Refuses more than ``limit`` cells; score on pairs instead.
+    no task sees a whole side. A caller can have more than ``limit`` cells refused.
     """
     n_left, n_right = left.count(), right.count()
-    if n_left * n_right > limit:
+    if limit is not None and n_left * n_right > limit:
         raise ValueError(f"grid of {n_left} x {n_right} cells exceeds the limit of {limit}")
     blocks_left, blocks_right = max(1, math.ceil(n_left / block)), max(1, math.ceil(n_right / block))
     rows = left.select(

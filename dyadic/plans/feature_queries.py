@@ -45,11 +45,10 @@ def char_vocab(spark, folder):
 
 @query("char_encode", """with c as (select distinct c from (select unnest(string_split(p_name, '')) c from part) where c <> ''),
  v as (select list(c order by c) cs from c)
- select p_partkey, array_to_string(list_concat(list_transform(string_split(p_name, ''), lambda x: list_position(cs, x)),
- list_transform(range(160 - length(p_name)), lambda i: 0)), ',') ids from part, v""")
+ select p_partkey, array_to_string(list_transform(string_split(p_name, ''), lambda x: list_position(cs, x)), ',') ids from part, v""")
 def char_encode(spark, folder):
     names = table(spark, folder, "part").select("p_partkey", "p_name")
-    ids = encode_chars("p_name", code_point_table(char_vocabulary(names, "p_name")), 160)
+    ids = encode_chars("p_name", code_point_table(char_vocabulary(names, "p_name")), None)
     return names.select("p_partkey", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
 
 

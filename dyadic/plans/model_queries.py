@@ -14,6 +14,7 @@ from dyadic.plans.inputs import (
 )
 from dyadic.plans.registry import query
 from dyadic.predictors import attention, factorization, mixhop, simple
+from dyadic.predictors.base import hashed
 from dyadic.predictors.factory import create_predictor
 from dyadic.session import cut_lineage
 
@@ -74,7 +75,7 @@ def mixhop_predict(spark, folder):
     return mixhop.predict(item_data(spark, folder)).scores.select("a", "b", r9("y_hat", 8).alias("y_hat"))
 
 
-_WIDTH, _SEED, _LR = 8, 42, 0.01
+_WIDTH, _SEED, _LR, _EPOCHS = 16, 42, 0.01, 5
 
 
 def factor_sql(epochs: int) -> str:
@@ -131,10 +132,10 @@ def mf_gradient_step(spark, folder):
     return factors.select("side", "key", F.posexplode("vec").alias("dim", "value")).withColumn("value", r9("value", 12))
 
 
-@query("predict_mf", f"""with {_SPLIT}, {factor_sql(5)} select a, b, round(1 / (1 + exp(-list_inner_product(p.v, q.v))), 9) y_hat
- from folds join a5 p on p.k = a join b5 q on q.k = b""")
+@query("predict_mf", f"""with {_SPLIT}, {factor_sql(_EPOCHS)} select a, b, round(1 / (1 + exp(-list_inner_product(p.v, q.v))), 9) y_hat
+ from folds join a{_EPOCHS} p on p.k = a join b{_EPOCHS} q on q.k = b""")
 def predict_mf(spark, folder):
-    found = create_predictor({"name": "matrix_factorization", **_MF, "epochs": 5})(item_data(spark, folder))
+    found = create_predictor({"name": "matrix_factorization", **_MF, "epochs": _EPOCHS})(item_data(spark, folder))
     return found.scores.select("a", "b", r9("y_hat").alias("y_hat"))
 
 
@@ -162,7 +163,7 @@ _ATTENTION = f"""ww as (select list({gaussian_sql("'42|query|' || i || '|' || j"
  aw as (select a, b, 0.5::double * (er / sum(er) over (partition by a) + ec / sum(ec) over (partition by b)) w from sm),
  tk as (select *, row_number() over (partition by a order by round(w, 12) desc, b) rn from aw),
  attn as materialized (select a, b, w / sum(w) over (partition by a) w from tk where rn <= 8)"""
-_ATTENTION_CONFIG = {**_MF, "epochs": 2, "top_k": 8}
+_ATTENTION_CONFIG = {**_MF, "epochs": _EPOCHS, "top_k": 8}
 
 
 @query("attention_scores", f"with {_PRIOR}, {_ATTENTION} select a, b, round(w, 8) w from attn")
@@ -178,9 +179,9 @@ def topk_attention(spark, folder):
     return members.join(per_group, "group").select(F.col("key").alias("a"), "n_kept", r9("total", 6).alias("total"))
 
 
-@query("predict_cross_attention", f"""with {_SPLIT}, {factor_sql(2)}, {_PRIOR}, {_ATTENTION},
+@query("predict_cross_attention", f"""with {_SPLIT}, {factor_sql(_EPOCHS)}, {_PRIOR}, {_ATTENTION},
  x as materialized (select f.a, f.b, y, fold, 1 / (1 + exp(-list_inner_product(p.v, q.v))) mf, coalesce(w, 0) attn
- from folds f join a2 p on p.k = f.a join b2 q on q.k = f.b left join attn t on t.a = f.a and t.b = f.b),
+ from folds f join a{_EPOCHS} p on p.k = f.a join b{_EPOCHS} q on q.k = f.b left join attn t on t.a = f.a and t.b = f.b),
  xt as (select * from x where fold = 'train'), {fit_sql('xt', ['mf', 'attn'], 'fit')}
  select a, b, round(greatest(0, least(1, b0 + b1 * mf + b2 * attn)), 6) y_hat from x, fit""")
 def predict_cross_attention(spark, folder):
@@ -190,7 +191,7 @@ def predict_cross_attention(spark, folder):
 
 @query("predict_char_encoder")
 def predict_char_encoder(spark, folder):
-    config = {"name": "end_to_end_char_encoder", "embedding_dim": 8, "epochs": 3}
+    config = {"name": "end_to_end_char_encoder", "embedding_dim": _WIDTH, "epochs": _EPOCHS}
     return create_predictor(config)(item_data(spark, folder)).scores.select("a", "b", r9("y_hat").alias("y_hat"))
 
 
@@ -218,16 +219,42 @@ _TERMS = """t as (select avg(pow(s.p - g.p, 2)) t1, avg(pow(sp.p - g.p, 2)) t2,
 @query("cross_view_agreement", f"""with {_VIEWS}, {_TERMS} select round(t1, 8) mse_seq_graph, round(t2, 8) mse_seqpert_graph,
  round(t3, 8) mse_seq_graphpert, n n_cells, round(t1 + t2 + t3, 8) l_xview, round(1 / (1 + t1 + t2 + t3), 8) causal_score from t""")
 def cross_view_agreement(spark, folder):
-    data = item_data(spark, folder)
-    data = data.with_pairs(cut_lineage(data.pairs))
-    shaken = _perturbed(data)
-    views = [cut_lineage(m.predict(d).scores) for d in (data, shaken) for m in (simple, mixhop)]
-    found = robustness.cross_view(views[0], views[1], views[2], views[3])
+    found = robustness.cross_view(*_views(spark, folder)[1])
     rounded = ["mse_seq_graph", "mse_seqpert_graph", "mse_seq_graphpert", "l_xview", "causal_score"]
     return found.select("n_cells", *[r9(c, 8).alias(c) for c in rounded])
 
 
-@query("masked_reconstruction")
+def _views(spark, folder):
+    """The data and its scores: marginal and propagated, of the given pairs and of the perturbed ones."""
+    data = item_data(spark, folder)
+    data = data.with_pairs(cut_lineage(data.pairs))
+    shaken = _perturbed(data)
+    return data, [cut_lineage(m.predict(d).scores) for d in (data, shaken) for m in (simple, mixhop)]
+
+
+def reconstruction_sql(vectors: str, width: int, out: str, seed: int = 42, ratio: float = 0.15) -> str:
+    """Masked reconstruction error of the lists ``v`` in ``vectors``: the known columns are eliminated from the scaled
+    Gram matrix one by one, and what is left on the diagonal are the squared residuals."""
+    masked = robustness.masked_columns(width, ratio)
+    steps = [f"""{out}k as (select i, row_number() over (order by md5('{seed}|' || i)) <= {masked} m from (select unnest(range({width})) i)),
+ {out}o as materialized (select i, row_number() over (order by m, i) k from (select * from {out}k union all select {width}, false)),
+ {out}x as materialized (select list_append(v, 1.0::double) v, row_number() over () rid from {vectors}),
+ {out}c as materialized (select k, list(v[i + 1] order by rid) c from {out}x, {out}o group by k),
+ {out}f as materialized (select l.k a, r.k b, list_inner_product(l.c, r.c) s from {out}c l, {out}c r),
+ {out}d as materialized (select a, greatest(sqrt(s), 1e-150) d from {out}f where a = b),
+ {out}0 as materialized (select f.a, f.b, s / p.d / q.d s from {out}f f join {out}d p on p.a = f.a join {out}d q on q.a = f.b)"""]
+    known = width + 1 - masked
+    for k in range(1, known + 1):
+        last = f"{out}{k - 1}"
+        steps.append(f"""{out}{k} as materialized (select t.a, t.b, t.s - case when p.s > 1e-10 then l.s * r.s / p.s else 0 end s from {last} t
+ join {last} l on l.a = t.a and l.b = {k} join {last} r on r.a = {k} and r.b = t.b, (select s from {last} where a = {k} and b = {k}) p
+ where t.a > {k} and t.b > {k})""")
+    steps.append(f"""{out} as (select sum(greatest(s, 0) * d * d) / {masked} / (select count(*) from {out}x) loss from {out}{known} join {out}d using (a) where a = b)""")
+    return ", ".join(steps)
+
+
+@query("masked_reconstruction", f"""with vs as (select embedding::double[] v from embeddings), {reconstruction_sql('vs', 64, 'mr')}
+ select round(loss, 9) loss, (select count(*) from vs) n_vectors, 9::int n_masked from mr""")
 def masked_reconstruction(spark, folder):
     found = robustness.masked_reconstruction(table(spark, folder, "embeddings").select(F.col("embedding").alias("vec")))
     return found.withColumn("loss", r9("loss"))
@@ -271,21 +298,20 @@ def irm_cf_score(spark, folder):
     return found.select(r9("l_irm", 12).alias("l_irm"), r9("l_cf").alias("l_cf"), "n_cf_sampled", r9("irm_cf_score").alias("irm_cf_score"))
 
 
-@query("unified_score", f"""with {_SCORED}, {_PERTURBED}, {simple_sql('pert', 'shaken')}, {_ENVS}, {_SWAPS}, {_IRM_CF},
- xv as (select avg(pow(base.p - shaken.p, 2)) l_xview from base join shaken using (a, b)),
- un as (select *, l_irm / greatest(abs(l_irm), 1) li, 1.0::double * l_xview + 0.25::double * l_cf + 2.0::double * (l_irm / greatest(abs(l_irm), 1)) lt from ic, xv)
- select round(l_xview, 9) l_xview, 0.0::double l_mas, round(l_irm, 12) l_irm, round(l_cf, 9) l_cf, round(li, 12) l_irm_normalised,
- round(lt, 9) l_total, round(1 / (1 + greatest(lt, 0)), 9) unified_causal_score from un""")
+@query("unified_score", f"""with {_VIEWS}, {_TERMS}, scored as materialized (select a, b, y, p from folds join base using (a, b)), {_ENVS}, {_SWAPS}, {_IRM_CF},
+ {reconstruction_sql('av', 16, 'ma')}, {reconstruction_sql('bv', 16, 'mb', 43)},
+ un as (select *, t1 + t2 + t3 l_xview, ma.loss + mb.loss l_mas, l_irm / greatest(abs(l_irm), 1) li from ic, t, ma, mb),
+ lt as (select *, l_xview + l_mas + 0.25::double * l_cf + 2.0::double * li lt from un)
+ select round(l_xview, 8) l_xview, round(l_mas, 8) l_mas, round(l_irm, 12) l_irm, round(l_cf, 8) l_cf, round(li, 12) l_irm_normalised,
+ round(lt, 8) l_total, round(1 / (1 + greatest(lt, 0)), 8) unified_causal_score from lt""")
 def unified_score(spark, folder):
-    data = item_data(spark, folder)
-    data = data.with_pairs(cut_lineage(data.pairs))
-    base = cut_lineage(simple.predict(data).scores)
-    shaken = simple.predict(_perturbed(data)).scores.withColumnRenamed("y_hat", "_p")
-    gap = base.join(shaken, ["a", "b"]).agg(F.avg(F.pow(F.col("y_hat") - F.col("_p"), 2)).alias("l_xview"))
-    scored = base.join(data.pairs.select("a", "b", "y"), ["a", "b"])
+    data, views = _views(spark, folder)
+    agreement = robustness.cross_view(*views)
+    masked = robustness.reconstruction_score(cut_lineage(hashed(data.left)), cut_lineage(hashed(data.right)))
+    scored = views[0].join(data.pairs.select("a", "b", "y"), ["a", "b"])
     losses = robustness.swap_and_environment(cut_lineage(scored), data.right).select(
-        gap.scalar().alias("l_xview"), F.lit(0.0).alias("l_mas"), "l_irm", "l_cf"
+        agreement.select("l_xview").scalar().alias("l_xview"), F.lit(masked["l_mas"]).alias("l_mas"), "l_irm", "l_cf"
     )
-    found = robustness.unified(losses, {"lambda_irm": 2.0, "lambda_cf": 0.25, "lambda_mas": 0.0})
+    found = robustness.unified(losses, {"lambda_irm": 2.0, "lambda_cf": 0.25})
     digits = {"l_irm": 12, "l_irm_normalised": 12}
-    return found.select(*[r9(c, digits.get(c, 9)).alias(c) for c in found.columns])
+    return found.select(*[r9(c, digits.get(c, 8)).alias(c) for c in found.columns])

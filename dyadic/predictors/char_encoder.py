@@ -28,15 +28,15 @@ INITIAL_SCALE = 0.05
 SIDES = ("a", "b")
 
 
-def char_frequencies(entities: DataFrame, max_len: int) -> tuple[DataFrame, int]:
-    """``(key, ids, freqs)``: vocabulary ids and relative frequencies of the first ``max_len`` characters.
+def char_frequencies(entities: DataFrame, max_len: int | None = None) -> tuple[DataFrame, int]:
+    """``(key, ids, freqs)``: vocabulary ids and relative frequencies of the characters.
 
-    The vocabulary covers the whole texts; ``max_len`` is the model's input length.
+    Frequencies are of the whole text, or of its first ``max_len`` characters where a configuration asks for that.
     """
     texts = entities.select("key", F.coalesce("content", F.lit("")).alias("content"))
     vocabulary = cut_lineage(char_vocabulary(texts, "content"))
     size, table = vocabulary.count(), code_point_table(vocabulary)
-    counts = char_counts(F.substring("content", 1, max_len))
+    counts = char_counts("content" if max_len is None else F.substring("content", 1, max_len))
 
     def relative(found: Column) -> Column:
         return let(
@@ -111,7 +111,8 @@ def predict(data: PairData, targets: DataFrame | None = None, config: dict | Non
     width, epochs = max(8, int(config.get("embedding_dim", 64))), max(1, int(config.get("epochs", 30)))
     lr, l2 = max(1e-6, float(config.get("lr", 0.05))), max(0.0, float(config.get("l2", 1e-5)))
     seed = int(config.get("seed", 42))
-    lengths = {"a": max(8, int(config.get("max_drug_len", 160))), "b": max(8, int(config.get("max_target_len", 2048)))}
+    given = {"a": config.get("max_drug_len"), "b": config.get("max_target_len")}
+    lengths = {side: None if n is None else max(8, int(n)) for side, n in given.items()}
     cells = target_cells(data, targets)
     train = data.train.select("a", "b", "y")
     facts = train.agg(
