@@ -6,7 +6,8 @@ is repeated more than ``max_repeat`` times. It is found by bisection over the ta
 aggregation that halves the interval ``HALVINGS`` times at once, so only two numbers reach the driver.
 
 Weights become token budgets. Each pass over a source goes through its blocks (hash buckets of documents) in an order
-of its own; the budget ends in one block, inside which documents are taken in hash order while they fit.
+of its own; the budget ends in one block, inside which documents are taken in hash order while they fit. Totals of the
+block's 4,096 parts tell in which part that is, so no task orders a whole block.
 
 All passes are decided by tables of (source, pass, block), which are small; documents are read once and never ordered
 as a whole. Without ``budget`` the budget is the least at which every document is used once at least.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from dyadic.session import cut_lineage
 
 BLOCKS = 64
+PART_DIGITS = 3  # hexadecimal digits of the order: a block has 4,096 parts
 ROUNDS, HALVINGS = 5, 6
 SMALL = 100_000  # rows of a plan that is broadcast, some 10 MB
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,10 +110,19 @@ def mix_sources(
         (F.sum("tokens").over(order) - F.col("tokens")).alias("before"))
     blocks_of = cut_lineage(blocks_of.where("before < left or left = 0 or before + tokens <= left"))
     cut = blocks_of.where("before + tokens > left").select("source", "pass", "block", (F.col("left") - F.col("before")).alias("room"))
+    # the budget of a pass ends in one part of one block: only that part is ordered
+    ends = cut_lineage(slim.join(cut, ["source", "block"]).withColumn("part", F.substring("order", 1, PART_DIGITS)))
+    parts = ends.groupBy("source", "pass", "block", "part").agg(F.sum("tokens").alias("tokens"), F.first("room").alias("room"))
+    running = Window.partitionBy("source", "pass", "block").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("upto", F.sum("tokens").over(running)).where("upto > room").groupBy("source", "pass", "block").agg(
+        F.min(F.struct("part", (F.col("upto") - F.col("tokens")).alias("spent"))).alias("last")).select("source", "pass", "block", "last.*")
+    parts = cut_lineage(parts)
     inside = Window.partitionBy("source", "pass", "block").orderBy("order").rangeBetween(Window.unboundedPreceding, 0)
-    # the budget of a pass ends in one block: only that one is ordered
-    last = slim.join(cut, ["source", "block"]).select("source", "pass", "block", "order", "room", F.sum("tokens").over(inside).alias("used"))
-    last = last.where("used <= room").groupBy("source", "pass", "block").agg(F.max("order").alias("upto"))
+    used = F.col("spent") + F.sum("tokens").over(inside)
+    fitting = ends.join(parts, ["source", "pass", "block", "part"]).withColumn("used", used).where("used <= room").groupBy(
+        "source", "pass", "block").agg(F.max("order").alias("order"))
+    # a part stands before all orders that begin with it, so without a fitting document it marks the parts before
+    last = parts.join(fitting, ["source", "pass", "block"], "left").select("source", "pass", "block", F.coalesce("order", "part").alias("upto"))
     chosen = blocks_of.join(last, ["source", "pass", "block"], "left").select(
         "source", "block", "pass", "place", "weight", F.when(F.col("before") + F.col("tokens") <= F.col("left"), "~").otherwise(F.coalesce("upto", F.lit(""))).alias("upto"))
     chosen = cut_lineage(chosen)
