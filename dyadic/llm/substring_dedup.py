@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dyadic.llm.words import SPACED, WORD_BASE, Words, map_texts, pieces, range_hash, range_sums
+from dyadic.llm.words import SPACED, WORD_BASE, Words, map_texts, mix, pieces, range_hash, range_sums
 from dyadic.session import cut_lineage
 
 LAST = 2**63 - 1
@@ -36,8 +36,8 @@ SPAN = T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to",
 
 
 def chosen_kmers(texts: list[bytes | None], window: int) -> tuple[np.ndarray, ...]:
-    """Owner, place, k-mer hash, hash of the span up to the next k-mer's end (0: none), distance to the next k-mer, and
-    how far before the place the first and last windows begin that are found by the k-mer."""
+    """Owner, place, k-mer hash, hash of the span up to the next k-mer's end (odd; even: no next), distance to the next k-mer,
+    and how far before the place the first and last windows begin that are found by the k-mer."""
     k = window // 3
     words = Words(texts, SPACED)
     sums = range_sums(words.hashes(), WORD_BASE)
@@ -66,7 +66,8 @@ def chosen_kmers(texts: list[bytes | None], window: int) -> tuple[np.ndarray, ..
     follows = np.concatenate((owner[1:] == owner[:-1], [False]))
     after = np.concatenate((place[1:], [0]))
     gap = np.where(follows, after - place, 0)
-    span = np.zeros(len(place), dtype=np.uint64)
+    # even values that differ: where a text ends there is no span to look up, and no key that all texts share
+    span = mix(hashes[place] + place.astype(np.uint64)) & ~np.uint64(1)
     span[follows] = range_hash(sums, place[follows], after[follows] + k) | np.uint64(1)
     own = place - words.first[:-1][owner]
     return owner, own, hashes[place].view(np.int64), span.view(np.int64), gap, place - first, place - last
@@ -101,7 +102,7 @@ def _paths(base: DataFrame, window: int) -> DataFrame:
     # written, so that the join below deals both sides anew and Spark can split a very common k-mer
     shared = cut_lineage(shared.where("low < high").drop("high"))
     found = cut_lineage(rows.join(shared, "kmer"))
-    spans = found.where("span <> 0").groupBy("span").agg(F.count("*").alias("together"))
+    spans = cut_lineage(found.where("span & 1 = 1").groupBy("span").agg(F.count("*").alias("together")))
     joined = found.join(spans, "span", "left").select(
         "doc", "tag", "times", "low", F.expr("at >> 24").alias("place"), F.expr("(at >> 16) & 255").alias("gap"),
         F.expr("at >> 8 & 255").alias("first"), F.expr("at & 255").alias("last"), "together").distinct()
@@ -122,7 +123,9 @@ def _ranges(kind: Column, low: Column, high: Column) -> Column:
 
 def repeated_words(docs: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
     """Columns ``row`` (the kept ones), n_words, n_removed, spans (removed word ranges), kept (the words left, joined by a
-    space; null where nothing is removed) and digest (sha256 of the words left)."""
+    space; null where nothing is removed) and digest (sha256 of the words left). ``window`` is 3 to 255 words."""
+    if not 3 <= window <= 255:  # distances inside a window are packed into bytes
+        raise ValueError("window must be between 3 and 255 words")
     base = _identity(docs, id, text, keep)
     paths = _paths(base, window)
     span_end = F.col("end") - window
