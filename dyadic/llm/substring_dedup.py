@@ -101,11 +101,13 @@ def _paths(base: DataFrame, window: int) -> DataFrame:
     shared = rows.groupBy("kmer").agg(F.count("*").alias("times"), F.min("doc").alias("low"), F.max("doc").alias("high"))
     # written, so that the join below deals both sides anew and Spark can split a very common k-mer
     shared = cut_lineage(shared.where("low < high").drop("high"))
-    found = cut_lineage(rows.join(shared, "kmer"))
+    found = cut_lineage(rows.join(shared, "kmer").drop("kmer"))
     spans = cut_lineage(found.where("span & 1 = 1").groupBy("span").agg(F.count("*").alias("together")))
-    joined = found.join(spans, "span", "left").select(
+    # dealt once, packed: neither the rows' distinctness nor the windows below need another exchange
+    joined = found.join(spans, "span", "left").select("doc", "tag", "times", "low", "at", "together")
+    joined = joined.repartition("doc", "tag").distinct().select(
         "doc", "tag", "times", "low", F.expr("at >> 24").alias("place"), F.expr("(at >> 16) & 255").alias("gap"),
-        F.expr("at >> 8 & 255").alias("first"), F.expr("at & 255").alias("last"), "together").distinct()
+        F.expr("at >> 8 & 255").alias("first"), F.expr("at & 255").alias("last"), "together")
     inside = Window.partitionBy("doc", "tag").orderBy("place")
     before = lambda c: F.lag(c).over(inside)
     goes_on = (before("place") + before("gap") == F.col("place")) & (before("gap") > 0) & (before("together") == before("times")) & (before("times") == F.col("times"))
