@@ -1,15 +1,16 @@
 """Dense products of two vector tables, block by block, reduced before anything is emitted.
 
-Vectors are packed into blocks of about ``BLOCK`` rows by a hash of their id. Every left block meets every right
-block through a co-group on the pair of block numbers; numpy multiplies the two matrices inside the task and only the
-reduced answer (the best k per row, a maximum, or row and column sums) leaves it. The full product is never
-materialised. Callers first merge equal vectors (see :mod:`dyadic.operators.graph`), so copies cost nothing.
+Vectors are packed by a hash of their id: left ones into blocks of about ``BLOCK`` rows, right ones into stripes of
+``STRIPE`` blocks. Every left block meets every stripe through a co-group on the pair of numbers; numpy multiplies the
+block by one slice of the stripe after the other, and only the answer reduced over the stripe (the best k per row, a
+maximum, or row and column sums) leaves the task. The full product is never materialised. Callers first merge equal
+vectors (see :mod:`dyadic.operators.graph`), so copies cost nothing.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 2048
+STRIPE = 8
 SIMILARITY_DIGITS = 9
 
 
@@ -42,8 +44,8 @@ def block_pairs(
     left: DataFrame, right: DataFrame, block: int = BLOCK,
     left_extra: list[str] | None = None, right_extra: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Packed left and right blocks, each repeated for every block of the other side."""
-    n_left, n_right = block_count(left, block), block_count(right, block)
+    """Packed left blocks and right stripes, each repeated for every one of the other side."""
+    n_left, n_right = block_count(left, block), block_count(right, block * STRIPE)
     repeat = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     packed_left = pack(left, n_left, "l", left_extra).withColumn("r_block", repeat(n_right))
     packed_right = pack(right, n_right, "r", right_extra).withColumn("l_block", repeat(n_left))
@@ -54,17 +56,35 @@ def matrix(flat, count: int) -> np.ndarray:
     return np.asarray(flat, dtype=np.float64).reshape(count, -1)
 
 
+def slices(stripe: pd.Series, size: int) -> Iterator[pd.Series]:
+    """The rows of a packed stripe, ``size`` vectors at a time."""
+    count = len(stripe.r_ids)
+    width = len(stripe.r_flat) // max(count, 1)
+    for at in range(0, count, size):
+        yield pd.Series({name: values[at * width: (at + size) * width] if name == "r_flat" else values[at: at + size]
+                         for name, values in stripe.items()})
+
+
 def reduce_blocks(
-    pairs: tuple[DataFrame, DataFrame], body: Callable[[pd.Series], pd.DataFrame], schema: str
+    pairs: tuple[DataFrame, DataFrame], body: Callable[[pd.Series], pd.DataFrame], schema: str,
+    merge: Callable[[pd.DataFrame], pd.DataFrame], block: int = BLOCK,
 ) -> DataFrame:
-    """Apply ``body`` to every block pair; a task holds exactly two blocks at a time."""
+    """Apply ``body`` to every left block and slice of a stripe, and ``merge`` to the results of a stripe so far.
+
+    A task holds one block, one stripe and two results of a stripe at a time.
+    """
 
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:  # no vector was dealt into this block
             return pd.DataFrame(columns=names)
-        return body(pd.concat([left.iloc[0], right.iloc[0].drop(["l_block", "r_block"])]))
+        own, stripe = left.iloc[0], right.iloc[0].drop(["l_block", "r_block"])
+        found = None
+        for part in slices(stripe, block):
+            new = body(pd.concat([own, part]))
+            found = new if found is None else merge(pd.concat([found, new], ignore_index=True))
+        return found
 
     keys = ["l_block", "r_block"]
     return pairs[0].groupBy(*keys).cogroup(pairs[1].groupBy(*keys)).applyInPandas(run, schema)
@@ -84,8 +104,13 @@ def best_per_row(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarra
     return rows, by_id[picked].ravel()
 
 
+def best_of_each(k: int, value: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Keeps the k largest ``value`` of each ``id``, ties broken by the smaller ``other``."""
+    return lambda found: found.sort_values(["id", value, "other"], ascending=[True, False, True]).groupby("id", sort=False).head(k)
+
+
 def top_products(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """``(id, other, sim)``: per left vector its k largest positive products within each right block."""
+    """``(id, other, sim)``: per left vector its k largest positive products within each right stripe."""
 
     def body(row: pd.Series) -> pd.DataFrame:
         ids, others = np.asarray(row.l_ids, dtype=object), np.asarray(row.r_ids, dtype=object)
@@ -96,7 +121,8 @@ def top_products(left: DataFrame, right: DataFrame, k: int, block: int = BLOCK)
         keep = best > 0
         return pd.DataFrame({"id": ids[rows][keep], "other": others[cols][keep], "sim": best[keep]})
 
-    return reduce_blocks(block_pairs(left, right, block), body, "id string, other string, sim double")
+    schema = "id string, other string, sim double"
+    return reduce_blocks(block_pairs(left, right, block), body, schema, best_of_each(k, "sim"), block)
 
 
 def largest_product(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -106,7 +132,7 @@ def largest_product(left: DataFrame, right: DataFrame, block: int = BLOCK) -> Da
         sims = matrix(row.l_flat, len(row.l_ids)) @ matrix(row.r_flat, len(row.r_ids)).T
         return pd.DataFrame({"largest": [float(sims.max())]})
 
-    parts = reduce_blocks(block_pairs(left, right, block), body, "largest double")
+    parts = reduce_blocks(block_pairs(left, right, block), body, "largest double", lambda found: found.max().to_frame().T, block)
     return parts.agg(F.max("largest").alias("largest"))
 
 
@@ -121,6 +147,9 @@ def row_profile(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFr
         return pd.DataFrame({"id": ids, "total": sims @ np.asarray(row.r_n, dtype=float),
                              "best_other": apart.max(axis=1)})
 
+    def merge(found: pd.DataFrame) -> pd.DataFrame:
+        return found.groupby("id", sort=False).agg({"total": "sum", "best_other": "max"}).reset_index()
+
     parts = reduce_blocks(block_pairs(left, right, block, None, ["n"]), body,
-                          "id string, total double, best_other double")
+                          "id string, total double, best_other double", merge, block)
     return parts.groupBy("id").agg(F.sum("total").alias("total"), F.max("best_other").alias("best_other"))

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from dyadic.functions.hashing import gaussian_matrix
 from dyadic.functions.numeric import FLOOR
-from dyadic.operators.blocks import BLOCK, best_per_row, block_pairs, matrix, reduce_blocks
+from dyadic.operators.blocks import BLOCK, best_of_each, best_per_row, block_pairs, matrix, reduce_blocks
 from dyadic.operators.graph import merge_equal, with_groups
 from dyadic.operators.least_squares import fit_linear, linear_value
 from dyadic.operators.pairs import PairData
+from dyadic.operators.skew import find_hot_keys, lookup
 from dyadic.predictors import factorization
 from dyadic.predictors.base import (
-    Prediction, attach, clip_if_binary, hashed, normalize_objective, target_cells,
+    Prediction, attach, clip_if_binary, hashed_sides, normalize_objective, target_cells,
 )
 from dyadic.session import cut_lineage
 
@@ -55,9 +56,9 @@ def attention_lists(data: PairData, config: dict, block: int = BLOCK) -> tuple[D
         k = np.tanh(matrix(row.r_flat, len(row.r_ids)) @ keys)
         return (q @ k.T) / scale
 
-    left_features = hashed(data.left, FEATURES)
+    left_features, right_features = hashed_sides(data)
     left = cut_lineage(merge_equal(left_features, 1))
-    right = cut_lineage(merge_equal(hashed(data.right, FEATURES), top_k))
+    right = cut_lineage(merge_equal(right_features, top_k))
 
     def peaks(row: pd.Series) -> pd.DataFrame:
         x = logits(row)
@@ -86,24 +87,30 @@ def attention_lists(data: PairData, config: dict, block: int = BLOCK) -> tuple[D
         values = found.where(F.col("side") == side).select("id", F.col("value").alias(name))
         return groups.join(values, "id")
 
-    found = reduce_blocks(block_pairs(left, right, block), peaks, SIDED)
+    def merged(how: str):
+        return lambda found: found.groupby(["side", "id"], sort=False)["value"].agg(how).reset_index()
+
+    found = reduce_blocks(block_pairs(left, right, block), peaks, SIDED, merged("max"), block)
     found = cut_lineage(found.groupBy("side", "id").agg(F.max("value").alias("value")))
     left, right = annotate(left, found, "a", "peak"), annotate(right, found, "b", "peak")
-    found = reduce_blocks(block_pairs(left, right, block, ["n", "peak"], ["n", "peak"]), denominators, SIDED)
+    found = reduce_blocks(block_pairs(left, right, block, ["n", "peak"], ["n", "peak"]), denominators, SIDED, merged("sum"), block)
     found = cut_lineage(
         found.groupBy("side", "id").agg(F.greatest(F.sum("value"), F.lit(FLOOR)).alias("value"))
     )
     left, right = annotate(left, found, "a", "total"), annotate(right, found, "b", "total")
     extra = ["peak", "total"]
-    winners = reduce_blocks(block_pairs(left, right, block, extra, extra), best, "id string, other string, attn double")
+    winners = reduce_blocks(block_pairs(left, right, block, extra, extra), best, "id string, other string, attn double",
+                            best_of_each(top_k, "attn"), block)
 
     def first(frame: DataFrame, tie: str) -> DataFrame:
         order = W.partitionBy("id").orderBy(F.col("attn").desc(), tie)
         return frame.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= top_k).drop("_at")
 
-    entities = first(winners, "other").join(
-        right.select(F.col("id").alias("other"), "members"), "other"
-    ).select("id", "attn", F.explode("members").alias("dst"))
+    # one text may be on the list of nearly every other: salt it like a hot key
+    candidates = cut_lineage(first(winners, "other"))
+    hot = find_hot_keys(candidates, ["other"])["other"]
+    members_of = right.select(F.col("id").alias("other"), "members")
+    entities = lookup(candidates, members_of, "other", hot, ["id"], "inner").select("id", "attn", F.explode("members").alias("dst"))
     kept = first(entities, "dst")
     sums = kept.groupBy("id").agg(F.greatest(F.sum("attn"), F.lit(FLOOR)).alias("_sum"))
     lists = kept.join(sums, "id").select(F.col("id").alias("group"), "dst", (F.col("attn") / F.col("_sum")).alias("w"))

@@ -15,6 +15,7 @@ from dyadic.functions.numeric import clip
 from dyadic.functions.text import hash_vector
 from dyadic.operators.pairs import PairData
 from dyadic.operators.skew import lookup
+from dyadic.session import cut_lineage
 
 # Accepted spellings of the objective.
 OBJECTIVES = {
@@ -67,6 +68,13 @@ def hashed(entities: DataFrame, width: int = 16) -> DataFrame:
     return entities.select("key", hash_vector(F.coalesce("content", F.lit("")), width).alias("vec"))
 
 
+def hashed_sides(data: PairData) -> tuple[DataFrame, DataFrame]:
+    """Character-hash features of both sides, found once for all pair tables over the same entities."""
+    if "hashed" not in data.shared:
+        data.shared["hashed"] = (cut_lineage(hashed(data.left)), cut_lineage(hashed(data.right)))
+    return data.shared["hashed"]
+
+
 def attach(data: PairData, cells: DataFrame, side: str, table: DataFrame) -> DataFrame:
     """Join an entity table (keyed ``key``) to the cells on side ``a`` or ``b``, hot entities salted."""
     other = "b" if side == "a" else "a"

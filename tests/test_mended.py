@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dyadic import session
 from dyadic.functions.numeric import clip
+from dyadic.operators import blocks
 from dyadic.operators.robustness import counterfactual_swaps
 from dyadic.predictors.dual_view import lookup_embeddings
 from dyadic.sources import tables
@@ -69,3 +70,20 @@ def test_only_named_folders_are_written():
     assert session.checkpoint_folder(named(None, "hdfs://z")) == "hdfs://z"
     with pytest.raises(ValueError):
         session.checkpoint_folder(named(None))
+
+
+def test_products_over_stripes_equal_dense_ones(spark):
+    """Several slices a stripe and several stripes; ties go to the smaller id."""
+    rng = np.random.default_rng(3)
+    left, right = rng.integers(0, 3, (20, 4)) / 6.0, rng.integers(0, 3, (61, 4)) / 6.0
+    frame = lambda x, name: spark.createDataFrame([(f"{name}{i:02}", v.tolist(), 2) for i, v in enumerate(x)], "id string, vec array<double>, n int")
+    a, b = frame(left, "a"), frame(right, "b")
+    sims = np.round(left @ right.T, 9)
+    best = {(r.id, r.other): r.sim for r in blocks.top_products(a, b, 3, block=4).collect()}
+    for i, row in enumerate(sims):
+        for j in np.lexsort((np.arange(len(row)), -row))[:3]:
+            assert row[j] == 0 or best[(f"a{i:02}", f"b{j:02}")] == row[j]
+    assert blocks.largest_product(a, b, block=4).first().largest == pytest.approx((left @ right.T).max())
+    profile = {r.id: (r.total, r.best_other) for r in blocks.row_profile(a, b, block=4).collect()}
+    for i, row in enumerate(left @ right.T):
+        assert profile[f"a{i:02}"] == (pytest.approx(2 * row.sum()), pytest.approx(row.max()))
