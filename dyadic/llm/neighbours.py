@@ -137,9 +137,10 @@ def nearest_neighbours(
     rows = vectors.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), is_query.alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("h", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
     smallest = Window.partitionBy("h", "h2").orderBy("id")
-    # the limit is applied before the shuffle too, so a very common vector sends few rows
-    points = rows.select("id", "h", "h2", "v").withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
-    points = cut_lineage(points.groupBy("h", "h2").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.first("v").alias("v")))
+    # repeated rows go first, so that the limit counts ids; it is applied before the shuffle too, so a very common vector sends few rows
+    names = rows.select("id", "h", "h2").distinct().withColumn("n", F.row_number().over(smallest)).where(F.col("n") <= k + 1)
+    names = names.groupBy("h", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    points = cut_lineage(rows.groupBy("h", "h2").agg(F.first("v").alias("v")).join(names, ["h", "h2"]))
     first = Window.partitionBy("id").orderBy("h", "h2")
     queries = rows.where("q").withColumn("n", F.row_number().over(first)).where("n = 1").select("id", "v", "h")
     queries = cut_lineage(queries)
@@ -173,11 +174,14 @@ def nearest_neighbours(
             names = asked.id.to_numpy()
             for a in range(0, len(names), BATCH):
                 found, _ = beam_search(unit, edges, int(g.start), asked_unit[a: a + BATCH], beam)
-                for name, q, near in zip(names[a: a + BATCH], wanted[a: a + BATCH], found[:, : k + 8], strict=True):
+                for name, q, near in zip(names[a: a + BATCH], wanted[a: a + BATCH], found, strict=True):
                     near = near[near >= 0]
                     scores = (full[near] @ q) / (norms[near] * np.linalg.norm(q))
                     pairs = sorted((-s, int(i)) for s, p in zip(scores, near, strict=True) for i in g.ids[p] if i != name)
-                    out += [(name, i, -s) for s, i in pairs[: k + 1]]
+                    nearest = {}  # an id with several vectors counts once, by its nearest
+                    for s, i in pairs:
+                        nearest.setdefault(i, -s)
+                    out += [(name, i, s) for i, s in list(nearest.items())[: k + 1]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     keys = ["shard", "width", "group"]

@@ -222,6 +222,16 @@ def test_neighbours(spark):
     assert neighbours.nearest_neighbours(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_count_ids_not_rows(spark):
+    """Repeated rows of a common vector, and an id with many vectors, leave room for the other ids."""
+    one, other = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(0, one)] + [(1, one)] * 40 + [(i, one) for i in range(2, 9) for _ in range(2)]
+    rows += [(100, other)] + [(101, [0.001 * k, 1.0, 0.0]) for k in range(1, 31)] + [(i, [0.1, 1.0, 0.01 * (i - 100)]) for i in range(102, 107)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(table, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, i) for i in range(1, 6)] + [(100, i) for i in range(101, 106)]
+
+
 def test_revisits(spark):
     h = lambda **k: [(n.replace("_", "-"), v) for n, v in k.items()]
     rows = [
