@@ -432,7 +432,10 @@ def _relabel(sets: DataFrame, edges: DataFrame) -> DataFrame:
 def jaccard_classes(
     docs: DataFrame, keep: list[str], id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75,
 ) -> DataFrame:
-    """Columns ``row`` (the kept ones), tag (xxhash64 of the text), n (set size), class (smallest id, then null)."""
+    """Columns ``row`` (the kept ones), tag (xxhash64 of the text), n (set size), class (smallest id, then null), label.
+
+    Classes are told apart by label (null without words): unlike texts under one id can give two classes one name.
+    """
     points, sketch = _points(docs, [id, *[c for c in keep if c != id]], text, size)
     rows = _bucket_rows(docs, text, size, percent, frequency_ranks(sketch))
     buckets = cut_lineage(_shared_buckets(rows))
@@ -479,7 +482,8 @@ def jaccard_classes(
     classed = points.join(labels, "d", "left").withColumn("label", F.coalesce("label", "d"))
     names = cut_lineage(classed.where("n > 0").groupBy("label").agg(F.min(f"row.`{id}`").alias("class")))
     classed = classed.join(names, "label", "left")
-    return classed.select("row", "tag", "n", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col(f"row.`{id}`")).alias("class"))
+    name = F.when(F.col("n") > 0, F.col("class")).otherwise(F.col(f"row.`{id}`"))
+    return classed.select("row", "tag", "n", name.alias("class"), F.when(F.col("n") > 0, F.col("label")).alias("label"))
 
 
 def one_of_each_class(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -487,10 +491,10 @@ def one_of_each_class(docs: DataFrame, id: str = "doc_id", text: str = "text", s
 
     Documents without words stay. Of rows equal in id and text one stays.
     """
-    classes = jaccard_classes(docs, [id], id, text, size, percent).select(F.col(f"row.`{id}`").alias("_id"), "tag", "n", "class")
+    classes = jaccard_classes(docs, [id], id, text, size, percent).select(F.col(f"row.`{id}`").alias("_id"), "tag", "n", "label")
     empty = classes.where("n = 0").select("_id", "tag")
     order = F.struct(F.col("_id").isNull(), "_id", "tag")
-    first = classes.where("n > 0").groupBy("class", F.when(F.col("class").isNull(), F.col("tag"))).agg(F.min(order).alias("first"))
+    first = classes.where("n > 0").groupBy("label").agg(F.min(order).alias("first"))
     kept = cut_lineage(first.select("first._id", "first.tag").union(empty).distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id}`").alias("_own"), F.xxhash64(F.col(f"`{text}`")).alias("_tag"))
     same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("tag"))

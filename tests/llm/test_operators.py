@@ -75,6 +75,13 @@ def test_copies_send_their_ngrams_once(spark):
     assert got == {**dict.fromkeys([*range(50), 62], 0), 60: 60, 61: 61}
 
 
+def test_unlike_texts_under_one_id_are_two_classes(spark):
+    first, second = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    docs = spark.createDataFrame([(1, first), (1, second), (2, second + " more"), (3, first + " more"), (None, second)], "doc_id long, text string")
+    stay = ngram_join.one_of_each_class(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in stay) == [(1, first), (1, second)]
+
+
 def test_substring_dedup(spark, corpus):
     docs = frame(spark, corpus)
     found = substring_dedup.repeated_words(docs.union(docs.where("doc_id = 45")), ["doc_id", "d"]).collect()
