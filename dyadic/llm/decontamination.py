@@ -12,6 +12,7 @@ Texts are read whole, whatever their length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 
 from dyadic.llm.automaton import SuffixAutomaton
 from dyadic.llm.words import ALNUM_LOWER, pieces
+from dyadic.session import cut_lineage
 
 #: Most item words that one automaton holds (about 200 bytes each); more items make more automata, used in turn.
 AUTOMATON_WORDS = 1_000_000
@@ -120,8 +122,8 @@ def judge(texts: list[bytes | None], index: ItemIndex) -> tuple[list[int], dict[
     return counts.tolist(), found
 
 
-def item_shards(items: DataFrame, item_id: str, text: str, limit: int) -> list[list[tuple[str, bytes]]]:
-    """Items in groups of about ``limit`` words, each small enough for one automaton.
+def item_shards(items: DataFrame, item_id: str, text: str, limit: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """Number of groups, and items in groups of about ``limit`` words, each small enough for one automaton.
 
     Groups are fetched one at a time; only their number depends on the table.
     """
@@ -129,8 +131,7 @@ def item_shards(items: DataFrame, item_id: str, text: str, limit: int) -> list[l
                         F.col(text).cast("binary").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = 1 + int(size) // (limit * 5)
-    return [[(r.id, bytes(r.text)) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()]
-            for k in range(n)]
+    return n, ([(r.id, bytes(r.text)) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()] for k in range(n))
 
 
 def find_contamination(
@@ -144,10 +145,14 @@ def find_contamination(
     ])
     state = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").cast("binary").alias("text"),
                         F.lit(None).cast(found).alias("found"))
-    shards = item_shards(items, item_id, item_text, automaton_words)
+    n, shards = item_shards(items, item_id, item_text, automaton_words)
     context = docs.sparkSession.sparkContext
-    for k, shard in enumerate(shards):
-        state = state.mapInArrow(_pass(context.broadcast(ItemIndex(shard, window)), k == 0, k == len(shards) - 1, state.schema), state.schema)
+    for k in range(n):
+        shared = context.broadcast(ItemIndex(next(shards), window))
+        state = state.mapInArrow(_pass(shared, k == 0, k == n - 1, state.schema), state.schema)
+        if k < n - 1:  # what is found so far is written, so that one automaton at a time is held
+            state = cut_lineage(state)
+            shared.destroy()
     return state.select("row", "found")
 
 

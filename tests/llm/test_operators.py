@@ -174,6 +174,15 @@ def test_decontamination(spark):
     assert decontamination.decontaminate(docs.limit(0), items.limit(0)).count() == 0
 
 
+def test_decontamination_holds_one_automaton(spark):
+    """Only the last of several automata is in the plan that is returned; the others are applied and gone."""
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five six seven"), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two"), (2, "five six"), (3, "eight nine")], "item_id long, text string")
+    found = decontamination.find_contamination(docs, items, ["doc_id"], automaton_words=1)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r.row.doc_id: r.found["items"] for r in found.collect()} == {1: ["1"], 2: ["2"], 3: []}
+
+
 def test_quality(spark):
     rng = random.Random(1)
     good = ["\n".join(" ".join(prose(rng, 12)) + "." for _ in range(5)) for _ in range(120)]
