@@ -22,7 +22,7 @@ def tables():
 
 
 def test_names():
-    assert "pipeline" in entry.queries() and {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in entry.queries() and {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", ["op1_revisits", "op4_line_dedup", "op5_decontamination"])
