@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = r"[^\x20\x09-\x0D]+"
@@ -69,3 +71,45 @@ def strong_spans(text):
             if len(m.group(2) if kind == "assign" else m.group()) >= {"assign": 6, "access": 20, "hex": 24}[kind]:
                 found.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
     return ",".join(s for _, _, s in sorted(found))
+
+
+def divergence(docs, least=30, top=50):
+    """Rows (lang, source, part, item, value, rank) for documents (text, lang, source), all None-able."""
+    docs = [tuple(x or "" for x in d) for d in docs]
+    terms = [Counter(re.findall(r"[^\x00-\x60\x7B-\x7F]+", t.translate(LOWER))) for t, _, _ in docs]
+    out = []
+    for lang in {d[1] for d in docs}:
+        holds = Counter(t for d, c in zip(docs, terms, strict=True) if d[1] == lang for t in c)
+        kept = {t for t, n in holds.items() if n >= least}
+        sums = {s: Counter() for _, g, s in docs if g == lang}
+        for (_, g, s), c in zip(docs, terms, strict=True):
+            if g == lang:
+                sums[s].update({t: n for t, n in c.items() if t in kept})
+        share = lambda c: {t: 1 + 1_000_000_000 * (c[t] + 5) // (sum(c.values()) + 5 * len(kept)) for t in kept}
+        p = {s: share(c) for s, c in sums.items()}
+        q = share(sum(sums.values(), Counter()))
+        for s in sums:
+            pairs = [(-sum(abs(p[s][t] - p[o][t]) for t in kept), o) for o in sums if o != s]
+            over = [(q[t] - p[s][t], t) for t in kept if sums[s][t] and p[s][t] > q[t]]
+            key = lambda x: (x[0], x[1].encode())
+            out += [(lang, s, "pair", o, -v, k) for k, (v, o) in enumerate(sorted(pairs, key=key), 1)]
+            out += [(lang, s, "term", t, -v, k) for k, (v, t) in enumerate(sorted(over, key=key)[:top], 1)]
+    return sorted(out)
+
+
+def ranked(docs, items, top=10):
+    """Rows (item_id, rank, doc_id, score) for documents (id, text) and items (id, text)."""
+    words = lambda t: Counter(re.findall(ALNUM, (t or "").translate(LOWER)))
+    bags = [(i, c) for i, t in docs if (c := words(t))]
+    n, total = len(bags), sum(sum(c.values()) for _, c in bags)
+    df = Counter(t for _, c in bags for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        for i, c in bags:
+            m = 10 + 90 * sum(c.values()) * n // total
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m)) for t in words(text) if c[t])
+            if score > 0 and i is not None:
+                found.append((-score, i))
+        out += [(item, k, i, -s) for k, (s, i) in enumerate(sorted(found)[:top], 1)]
+    return sorted(out, key=lambda r: (r[0] is None, r))
