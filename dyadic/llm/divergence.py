@@ -31,11 +31,11 @@ from dyadic.session import cut_lineage, spread_scan
 
 #: Byte lengths of the levels; the last level is the whole term.
 LADDER = (3, 6, 9, 14, 24)
-PIECE = 16 << 20
-#: Survivors of a level are broadcast up to this many rows (some 40 MB), else joined by shuffles.
-BROADCAST_ROWS = 500_000
-#: Cells of one block of terms by sources.
-CELLS = 1 << 22
+PIECE = 8 << 20
+#: Survivors of a level are broadcast up to this many rows (some 25 MB), else joined by shuffles.
+BROADCAST_ROWS = 300_000
+#: Cells of one block of terms by sources, where they outnumber the sums that a block returns.
+CELLS = 1 << 16
 SCALE, SMOOTH = 1_000_000_000, 5
 
 
@@ -146,8 +146,9 @@ def pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
     Terms are dealt to blocks by hash, as many as keep a block of terms by sources bounded; a block gives one partial
     sum for each pair of sources.
     """
-    cells = groups.groupBy("lang").agg((F.max("kept") * F.count("*")).alias("cells")).agg(F.max("cells")).first()[0] or 0
-    n = 1 + int(cells) // CELLS
+    shape = groups.groupBy("lang").agg(F.count("*").alias("sources"), (F.max("kept") * F.count("*")).alias("cells"))
+    cells, sources = shape.agg(F.coalesce(F.max("cells"), F.lit(0)), F.coalesce(F.max("sources"), F.lit(0))).first()
+    n = 1 + int(cells) // max(CELLS, 4 * sources * sources)
     shares = counts.join(groups, ["lang", "source"]).select(
         "lang", F.pmod(F.xxhash64("term"), F.lit(n)).cast("int").alias("block"), F.xxhash64("term", F.lit(1)).alias("h"), "term", "source",
         share(F.col("n"), F.col("total"), F.col("kept")).alias("p"))
