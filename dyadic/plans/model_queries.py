@@ -13,7 +13,7 @@ from dyadic.plans.inputs import (
     DENSE, LABELLED, dense_pairs, folds, gaussian_sql, hash_list, item_data, r9, table,
 )
 from dyadic.plans.registry import query
-from dyadic.predictors import attention, factorization, mixhop, simple
+from dyadic.predictors import attention, factorization, mixhop, retrieval, simple
 from dyadic.predictors.base import hashed
 from dyadic.predictors.factory import create_predictor
 from dyadic.session import cut_lineage
@@ -30,13 +30,16 @@ def ols_gram(spark, folder):
     return sums.select("n", *[r9(c, 6).alias(c) for c in sums.columns if c != "n"])
 
 
+MARGINAL = """greatest(0.0, least(1.0, 0.4::double * coalesce(rm, gm) + 0.4::double * coalesce(cm, gm)
+ + 0.1::double * gm + 0.1::double * list_inner_product(av.v, bv.v) / top))"""
+
+
 def simple_sql(pairs: str, out: str) -> str:
     """Marginal baseline trained on ``pairs`` (a, b, y, fold), scored on all of them."""
     return f"""{out}_r as (select a, avg(y) rm from {pairs} where fold = 'train' group by a),
  {out}_c as (select b, avg(y) cm from {pairs} where fold = 'train' group by b),
  {out}_g as (select avg(y) gm from {pairs} where fold = 'train'),
- {out} as (select a, b, greatest(0.0, least(1.0, 0.4::double * coalesce(rm, gm) + 0.4::double * coalesce(cm, gm)
- + 0.1::double * gm + 0.1::double * list_inner_product(av.v, bv.v) / top)) p
+ {out} as (select a, b, {MARGINAL} p
  from {pairs} left join {out}_r using (a) left join {out}_c using (b) join av using (a) join bv using (b), {out}_g, mx)"""
 
 
@@ -268,13 +271,19 @@ _SWAPS = """ps as (select a, b from scored where y > 0.5),
  ix as (select b, row_number() over (order by b) - 1 i, count(*) over () n from bv),
  sw as (select ps.a, ps.b, ('0x' || substr(md5('42|swap|' || ps.a || '|' || ps.b), 1, 8))::bigint % (n - 1) st, i from ps join ix using (b)),
  s2 as (select sw.a, sw.b, ix.b b_swap from sw join ix on ix.i = st + case when st >= sw.i then 1 else 0 end),
- cf as (select s2.a, s2.b, s2.b_swap, p from s2 join scored on scored.a = s2.a and scored.b = s2.b_swap)"""
+ cf as (select s2.a, s2.b, s2.b_swap, {MARGINAL} p from s2 left join base_r using (a) left join base_c on base_c.b = s2.b_swap
+ join av using (a) join bv on bv.b = s2.b_swap, base_g, mx)""".replace("{MARGINAL}", MARGINAL)
 
 
 def _scored(spark, folder):
+    """Known pairs with their scores, the right entities, and the model as a function of cells."""
     data = item_data(spark, folder)
     scores = simple.predict(data).scores
-    return cut_lineage(scores.join(data.pairs.select("a", "b", "y"), ["a", "b"])), data.right
+    return cut_lineage(scores.join(data.pairs.select("a", "b", "y"), ["a", "b"])), data.right, _scorer(data)
+
+
+def _scorer(data):
+    return lambda cells: simple.predict(data, cells).scores
 
 
 @query("env_risk_variance", f"with {_SCORED}, {_ENVS} select round(l_irm, 12) l_irm, n_envs_used, cast(n_pairs as bigint) n_pairs from irm")
@@ -309,9 +318,31 @@ def unified_score(spark, folder):
     agreement = robustness.cross_view(*views)
     masked = robustness.reconstruction_score(cut_lineage(hashed(data.left)), cut_lineage(hashed(data.right)))
     scored = views[0].join(data.pairs.select("a", "b", "y"), ["a", "b"])
-    losses = robustness.swap_and_environment(cut_lineage(scored), data.right).select(
+    losses = robustness.swap_and_environment(cut_lineage(scored), data.right, _scorer(data)).select(
         agreement.select("l_xview").scalar().alias("l_xview"), F.lit(masked["l_mas"]).alias("l_mas"), "l_irm", "l_cf"
     )
     found = robustness.unified(losses, {"lambda_irm": 2.0, "lambda_cf": 0.25})
     digits = {"l_irm": 12, "l_irm_normalised": 12}
     return found.select(*[r9(c, digits.get(c, 8)).alias(c) for c in found.columns])
+
+
+_TOP = 5
+_UNKNOWN = f"""select a, b, rank::int as rank, round(y, 9) y_hat from (select *, row_number() over (partition by a order by round(y, 9) desc, b) rank
+ from (select * from cell anti join folds using (a, b))) where rank <= {_TOP}"""
+
+
+@query("score_top", f"""with {_BASE}, cell as (select av.a, bv.b, {MARGINAL} y from av cross join bv left join base_r using (a)
+ left join base_c on base_c.b = bv.b, base_g, mx) {_UNKNOWN}""")
+def score_top(spark, folder):
+    """The best unmeasured suppliers of every part by the marginal baseline."""
+    data = item_data(spark, folder)
+    return retrieval.top_unmeasured(data, "simple_baseline", None, _TOP).withColumn("y_hat", r9("y_hat"))
+
+
+@query("score_top_mf", f"""with {_SPLIT}, {factor_sql(_EPOCHS)}, cell as (select p.k a, q.k b, list_inner_product(p.v, q.v) y from a{_EPOCHS} p, b{_EPOCHS} q)
+ select a, b, rank, round(1 / (1 + exp(-y_hat)), 9) y_hat from ({_UNKNOWN})""")
+def score_top_mf(spark, folder):
+    """The best unmeasured suppliers of every part by trained factors."""
+    data = item_data(spark, folder)
+    found = create_predictor({"name": "matrix_factorization", **_MF, "epochs": _EPOCHS})(data)
+    return retrieval.top_unmeasured(data, "matrix_factorization", found, _TOP).withColumn("y_hat", r9("y_hat"))

@@ -51,6 +51,8 @@ def diagnose(data: PairData, scores: DataFrame, config: dict, perturbation: dict
     scored = scores.join(data.pairs.select("a", "b", "y"), ["a", "b"])
     mas = config.get("mas_config", {})
     swaps = _swap_settings(config.get("irm_cf_config", {}))
+    model = predictor or create_predictor(None)
+    score = lambda cells: model(data, cells).scores
 
     if mode == "cross_view":
         found = _row(robustness.cross_view(*_views(data, shaken, config), weight))
@@ -60,7 +62,7 @@ def diagnose(data: PairData, scores: DataFrame, config: dict, perturbation: dict
         found = robustness.reconstruction_score(left, right, float(mas.get("mask_ratio", 0.15)), int(mas.get("seed", 42)), weight)
         return {"causal": {"mode": mode, "metrics": found}, "causal_score": found["mas_score"]}
     if mode == "irm_cf":
-        found = _row(robustness.swap_and_environment(cut_lineage(scored), data.right, **swaps))
+        found = _row(robustness.swap_and_environment(cut_lineage(scored), data.right, score, **swaps))
         return {"causal": {"mode": mode, "metrics": found}, "causal_score": found["irm_cf_score"]}
     if mode == "unified":
         # A zero lambda leaves its term out, so the models behind it are not run at all.
@@ -72,11 +74,11 @@ def diagnose(data: PairData, scores: DataFrame, config: dict, perturbation: dict
             found = robustness.reconstruction_score(*_vectors(data, mas), float(mas.get("mask_ratio", 0.15)), int(mas.get("seed", 42)))
             losses["l_mas"] = found["l_mas"]
         if lam["irm"] > 0 or lam["cf"] > 0:
-            found = _row(robustness.swap_and_environment(cut_lineage(scored), data.right, **swaps))
+            found = _row(robustness.swap_and_environment(cut_lineage(scored), data.right, score, **swaps))
             losses.update(l_irm=found["l_irm"], l_cf=found["l_cf"])
         frame = scores.sparkSession.createDataFrame([tuple(map(float, losses.values()))], ", ".join(f"{k} double" for k in losses))
         found = _row(robustness.unified(frame, {f"lambda_{k}": v for k, v in lam.items()}))
         return {"causal": {"mode": mode, "lambdas": lam, "metrics": found}, "causal_score": found["unified_causal_score"]}
-    again = (predictor or create_predictor(None))(shaken).scores
+    again = model(shaken).scores
     value = robustness.reliability(scores, again, weight).select(F.col("reliability")).first()[0]
     return {"causal": {"mode": "reliability", "metric": "prediction_stability"}, "causal_score": value}
