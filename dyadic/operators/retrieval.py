@@ -77,7 +77,7 @@ def best_in_stripe(rows: pd.DataFrame, known: pd.DataFrame, stripe: pd.DataFrame
     struck_col = place.reindex(known.other).to_numpy()
     hit = ~(np.isnan(struck_row) | np.isnan(struck_col))
     struck_row, struck_col = struck_row[hit].astype(int), struck_col[hit].astype(int)
-    best = pd.DataFrame({"a": [], "b": [], "score": [], "row": []})
+    best = pd.DataFrame(columns=["a", "b", "score", "row"])
     for at in range(0, len(stripe), SLICE):
         part = stripe.iloc[at: at + SLICE]
         live = np.flatnonzero(bias + part.bias.max() + norm * part.norm.max() + SLACK >= floor)
@@ -111,9 +111,9 @@ def top_unknown(left: DataFrame, right: DataFrame, known: DataFrame | None, k: i
     schema = "a string, b string, score double"
     left = cut_lineage(left.select("key", "vec", "bias").withColumn("norm", F.sqrt(dot("vec", "vec"))))
     typical = left.agg(F.coalesce(F.avg("norm"), F.lit(0.0))).first()[0]
-    right, stripes = striped(right, typical, stripe)
-    if not stripes.buckets:
+    if right.isEmpty():
         return left.sparkSession.createDataFrame([], schema + ", rank int")
+    right, stripes = striped(right, typical, stripe)
     blocks = block_count(left, block)
     block_of = lambda key: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")
     none = F.lit(None).cast("string").alias("other")
@@ -127,7 +127,7 @@ def top_unknown(left: DataFrame, right: DataFrame, known: DataFrame | None, k: i
     def run(key, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         entities = rows[rows.other.isna()]
         if entities.empty or own.empty:
-            return pd.DataFrame({"a": [], "b": [], "score": []})
+            return pd.DataFrame(columns=["a", "b", "score"])
         return best_in_stripe(entities, rows[rows.other.notna()], own, k)
 
     def search(entities: DataFrame, stripe_test: Column) -> DataFrame:

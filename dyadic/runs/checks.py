@@ -98,26 +98,29 @@ def check_all(spark: SparkSession, paths: list[str]) -> int:
     return int(any(codes.values()))
 
 
-def validate_outputs(paths: list[str], report_path: str | None = None) -> int:
+def output_problems(spark: SparkSession, config: dict) -> list[str]:
+    """What the newest run of a configuration lacks."""
+    base, name = str(config["output"]["base_dir"]), config["name"]
+    folder = artifacts.latest_run(spark, base, name)
+    if folder is None:
+        return ["no run folder"]
+    wanted = [artifacts.SUMMARY, artifacts.SNAPSHOT, *([artifacts.PREDICTIONS] if config.get("dataset") else [])]
+    lacking = [f for f in wanted if not artifacts.exists(spark, f"{folder}/{f}")]
+    problems = [f"missing {f}" for f in lacking]
+    if artifacts.SUMMARY not in lacking and json.loads(artifacts.read_text(spark, f"{folder}/{artifacts.SUMMARY}")).get("status") != "completed":
+        problems.append("status is not completed")
+    own = F.col("summary_path").endswith(f"{folder.rsplit('/', 1)[-1]}/{artifacts.SUMMARY}")
+    if artifacts.registry(spark, base).where(own).isEmpty():
+        problems.append("no registry row")
+    return problems
+
+
+def validate_outputs(spark: SparkSession, paths: list[str], report_path: str | None = None) -> int:
     """Every configuration has a newest run with its artifacts, a completed status and a registry row."""
     results = []
     for path in paths:
         code, config = read_config(path)
-        problems = [f"configuration error {code}"] if code != OK else []
-        if not problems:
-            base, name = str(config["output"]["base_dir"]), config["name"]
-            folder = artifacts.latest_run(base, name)
-            if folder is None:
-                problems.append("no run folder")
-            else:
-                summary = folder / "summary.json"
-                problems += [f"missing {f}" for f in ("summary.json", "config_snapshot.yaml") if not (folder / f).is_file()]
-                if config.get("dataset") and not (folder / "predictions").exists():
-                    problems.append("missing predictions")
-                if summary.is_file() and json.loads(summary.read_text()).get("status") != "completed":
-                    problems.append("status is not completed")
-                if str(summary) not in {r["summary_path"] for r in artifacts.registry_rows(base)}:
-                    problems.append("no registry row")
+        problems = [f"configuration error {code}"] if code != OK else output_problems(spark, config)
         results.append({"config": str(path), "status": "FAIL" if problems else "PASS", "problems": problems})
     failed = sum(r["status"] == "FAIL" for r in results)
     payload = {"checked_at": _now(), "overall_status": "FAIL" if failed else "PASS", "failed": failed,

@@ -82,8 +82,14 @@ RULES = {
         "sequence_model": (lambda v: isinstance(v, dict), "a mapping"),
         "graph_model": (lambda v: isinstance(v, dict), "a mapping"),
     },
+    "score": {
+        "pairs": (_text_or_none, "a path or null"),
+        "top": (lambda v: v is None or _at_least(1)(v), "a positive integer or null"),
+    },
     "binary": {"threshold": (_unit_range, "a number in [0, 1]")},
 }
+# Models whose score grows with an inner product of entity vectors.
+SEARCHABLE = ("simple_baseline", "matrix_factorization")
 REQUIRED = {"dataset": ["name", "path"]}
 
 
@@ -110,8 +116,12 @@ def validate(config, binary: bool = False) -> list[str]:
     for name in RULES:
         if name != "binary" or binary:
             errors += check_section(name, config.get(name))
+    score = config.get("score")
+    if isinstance(score, dict) and score.get("top") and model_name(config) not in SEARCHABLE:
+        errors.append(f"score.top needs one of the models {', '.join(SEARCHABLE)}")
     return errors
 
 
 def model_name(config: dict) -> str:
-    return str((config.get("model") or {}).get("name", DEFAULT_MODEL))
+    model = config.get("model")
+    return str((model if isinstance(model, dict) else {}).get("name", DEFAULT_MODEL)).strip().lower()

@@ -13,12 +13,14 @@ from dyadic.operators.pairs import PairData, densify, grid
 from dyadic.operators.regression_metrics import evaluate_regression
 from dyadic.operators.robustness import placeholder_score, prediction_stats
 from dyadic.operators.splits import split_pairs
+from dyadic.predictors.base import Prediction
 from dyadic.predictors.factory import create_predictor
+from dyadic.predictors.retrieval import top_unmeasured
 from dyadic.runs import artifacts
 from dyadic.runs.config import model_name, validate
 from dyadic.runs.diagnostics import diagnose
 from dyadic.session import cut_lineage
-from dyadic.sources.tables import load_pairs, read_embeddings
+from dyadic.sources.tables import load_pairs, read_cells, read_embeddings
 
 # Exit codes.
 OK, NO_CONFIG, BAD_CONFIG, STRICT_PLACEHOLDER = 0, 1, 2, 3
@@ -79,8 +81,7 @@ def run_once(spark: SparkSession, path: str, binary: bool = False) -> int:
             print(f"[ERROR] strict mode: no usable source at {dataset['path']}")
             return STRICT_PLACEHOLDER
     base, name = str(config["output"]["base_dir"]), config["name"]
-    folder = artifacts.make_run_folder(base, name)
-    snapshot = artifacts.write_snapshot(folder, config)
+    folder = artifacts.open_run(spark, base, name)
     summary = {"run_name": name, "protocol": config["protocol"], "status": "completed",
                "created_at": datetime.now().isoformat(timespec="seconds")}
     causal = config.get("causal") or {}
@@ -90,13 +91,13 @@ def run_once(spark: SparkSession, path: str, binary: bool = False) -> int:
             summary["causal_score"] = score
     else:
         summary.update(_run_data(spark, config, data, folder, binary))
-    summary_path = artifacts.write_summary(folder, summary)
-    artifacts.append_registry(base, {**summary, "summary_path": str(summary_path), "config_snapshot_path": str(snapshot)})
-    print(f"[OK] run completed: {summary_path}")
+    paths = artifacts.write_documents(spark, folder, summary, config)
+    artifacts.register(spark, base, {**summary, **paths})
+    print(f"[OK] run completed: {paths['summary_path']}")
     return OK
 
 
-def _run_data(spark: SparkSession, config: dict, data: PairData, folder: Path, binary: bool) -> dict:
+def _run_data(spark: SparkSession, config: dict, data: PairData, folder: str, binary: bool) -> dict:
     is_placeholder = data.meta["is_placeholder"]
     dataset = config["dataset"]
     fill = dataset.get("fill", "null" if binary else "zero")
@@ -115,7 +116,7 @@ def _run_data(spark: SparkSession, config: dict, data: PairData, folder: Path, b
         "dataset_name": data.meta["source"], "dataset_placeholder": is_placeholder,
         "dataset_allow_placeholder": dataset.get("allow_placeholder", True),
         "num_drugs": data.left.count(), "num_targets": data.right.count(),
-        "prediction_path": str(artifacts.write_predictions(folder, scores)),
+        "prediction_path": artifacts.write_table(folder, artifacts.PREDICTIONS, scores.select("a", "b", "y_hat")),
         "prediction_stats": prediction_stats(scores).first().asDict(),
     }
     if binary:
@@ -140,13 +141,26 @@ def _run_data(spark: SparkSession, config: dict, data: PairData, folder: Path, b
         out["training"] = {"epochs_completed": len(losses), "loss_start": round(losses[0], 6),
                            "loss_final": round(losses[-1], 6), "loss_min": round(min(losses), 6)}
     if found.factors is not None:
-        out["checkpoint_path"] = str(artifacts.write_factors(folder, found.factors))
+        out["checkpoint_path"] = artifacts.write_factors(folder, found.factors)
+    out.update(_unmeasured(spark, config, data, found, predictor, folder))
     causal = config.get("causal") or {}
     if causal.get("enabled", False):
         out.update(diagnose(data, scores, causal, config.get("perturbation"), predictor))
     return out
 
 
+def _unmeasured(spark: SparkSession, config: dict, data: PairData, found: Prediction, predictor, folder: str) -> dict:
+    """Scores beyond the known pairs: of a table of cells (``score.pairs``), and of the best ones (``score.top``)."""
+    wanted, out = config.get("score") or {}, {}
+    if wanted.get("pairs"):
+        cells = read_cells(spark, wanted["pairs"])
+        out["scored_pairs_path"] = artifacts.write_table(folder, artifacts.SCORED_PAIRS, predictor(data, cells).scores.select("a", "b", "y_hat"))
+    if wanted.get("top"):
+        best = top_unmeasured(data, model_name(config), found, int(wanted["top"]))
+        out["top_scores_path"] = artifacts.write_table(folder, artifacts.TOP_SCORES, best)
+    return out
+
+
 def run_all(spark: SparkSession, paths: list[str], binary: bool = False) -> int:
     """Run every configuration in one session; 1 if any of them failed."""
     codes = {path: run_once(spark, path, binary) for path in paths}

@@ -39,9 +39,18 @@ class SourceError(Exception):
     """The source cannot be read as pair data."""
 
 
+def quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, so that a quoted field runs over several lines.
+
+    Files without such fields are split among tasks; a file with one has to be read by one task.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
     """CSV with all columns as strings, plus the row's place in the source (file, block, position)."""
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", quoted_breaks(spark, path)).csv(path)
     return raw.select(
         "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     ).withColumn("_line", F.monotonically_increasing_id())
@@ -276,6 +285,15 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct (a, b) cells to score, from Parquet with columns a and b or from CSV with the id columns of the flat layout."""
+    if path.endswith(".csv"):
+        rows = spark.read.option("header", True).csv(path).select(F.col(LEFT_ID).alias("a"), F.col(RIGHT_ID).alias("b"))
+    else:
+        rows = spark.read.parquet(path).select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    return rows.dropna().distinct()
+
+
 def read_summaries(spark: SparkSession, pattern: str) -> DataFrame:
     """Run summaries, one JSON document per file; unreadable files are skipped."""
     schema = (

@@ -55,8 +55,8 @@ def test_missing_vectors_have_the_width_of_the_table(spark):
 def test_all_positives_are_swapped(spark):
     scored = spark.range(3000).select(F.col("id").cast("string").alias("a"), F.explode(F.array(F.lit("x"), F.lit("y"))).alias("b"), F.lit(1.0).alias("y"), F.lit(0.5).alias("y_hat"))
     right = spark.createDataFrame([("x", ""), ("y", "")], "key string, content string")
-    assert counterfactual_swaps(scored, right).count() == 6000
-    assert counterfactual_swaps(scored, right, n_cf_pairs=10).count() == 10
+    assert counterfactual_swaps(scored, right, lambda c: c.withColumn('y_hat', F.lit(0.5))).count() == 6000
+    assert counterfactual_swaps(scored, right, lambda c: c.withColumn('y_hat', F.lit(0.5)), n_cf_pairs=10).count() == 10
 
 
 def named(setting, context=None):

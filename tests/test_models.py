@@ -287,9 +287,9 @@ def test_diagnostics(spark, world):
     assert robustness.risk_variance(scored, 1).first().l_irm == 0.0
     assert robustness.risk_variance(scored.where("false"), 3).first().l_irm == 0.0
     one = spark.createDataFrame([("q1", "x")], "key string, content string")
-    assert robustness.counterfactual_loss(scored, one).first().asDict() == {"l_cf": 0.0, "n_cf_sampled": 0}
-    assert robustness.counterfactual_loss(scored, data.right, pos_threshold=5.0).first().n_cf_sampled == 0
-    swaps = robustness.counterfactual_swaps(scored, data.right, 0.1, 1000, 1)
+    assert robustness.counterfactual_loss(scored, one, lambda c: c.withColumn('y_hat', F.lit(0.5))).first().asDict() == {"l_cf": 0.0, "n_cf_sampled": 0}
+    assert robustness.counterfactual_loss(scored, data.right, lambda c: c.withColumn('y_hat', F.lit(0.5)), pos_threshold=5.0).first().n_cf_sampled == 0
+    swaps = robustness.counterfactual_swaps(scored, data.right, lambda c: c.withColumn('y_hat', F.lit(0.5)), 0.1, 1000, 1)
     assert swaps.count() > 0 and swaps.where("b = b_swap").count() == 0
     assert robustness.perturb(data.pairs, 1.0).agg(F.max("y")).first()[0] == 0.0
     assert robustness.perturb(data.pairs, 0.0).exceptAll(data.pairs).count() == 0
