@@ -11,7 +11,7 @@ from dyadic.operators import binary_metrics, regression_metrics
 from dyadic.operators.concordance import concordance
 from dyadic.operators.graph import normalize_rows, softmax_rows
 from dyadic.operators.marginals import marginal_means
-from dyadic.operators.pairs import PairData, densify, entity_index, first_content, grid, melt_matrix
+from dyadic.operators.pairs import PairData, densify, entity_index, first_content, grid, last_write, melt_matrix
 from dyadic.operators.robustness import perturb, prediction_stats
 from dyadic.operators.splits import assign_environments, sample_exact, split_pairs
 from dyadic.plans.inputs import (
@@ -165,9 +165,9 @@ def _users_and_types(spark, folder):
 
 _GRID = """users as (select distinct cast(user_id as varchar) a from events),
  types as (select distinct event_type b from events)"""
-# Every user has every event type; the pairs known here are those with a high value, so cells stay to be filled.
-_HIGH = """high as (select cast(user_id as varchar) a, event_type b, arg_max(value, event_id) y from events
- where value > 400 group by 1, 2)"""
+# Many customers have no order of some priority, so cells stay to be filled.
+_ORDERS = """buyers as (select distinct cast(c_custkey as varchar) a from customer), kinds as (select distinct o_orderpriority b from orders),
+ placed as (select cast(o_custkey as varchar) a, o_orderpriority b, arg_max(o_totalprice, (o_orderkey, o_totalprice)) y from orders group by 1, 2)"""
 
 
 @query("grid_cross", f"with {_GRID} select a, b from users, types")
@@ -176,19 +176,20 @@ def grid_cross(spark, folder):
 
 
 def _dense_grid(spark, folder, fill):
-    rows = table(spark, folder, "events").where("value > 400").select(
-        F.col("user_id").cast("string").alias("a"), F.col("event_type").alias("b"), "value", "event_id"
-    )
-    high = rows.groupBy("a", "b").agg(F.max_by("value", "event_id").alias("y"))
-    return densify(grid(*_users_and_types(spark, folder)), high, fill)
+    """All customers by all order priorities, with the total price of the customer's last order of that priority."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_custkey").cast("string").alias("a"), F.col("o_orderpriority").alias("b"), "o_totalprice", "o_orderkey")
+    buyers = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("key")).distinct()
+    kinds = orders.select(F.col("b").alias("key")).distinct()
+    return densify(grid(buyers, kinds), last_write(orders, ["a", "b"], "o_totalprice", ["o_orderkey", "o_totalprice"]), fill)
 
 
-@query("grid_densify_zero", f"with {_GRID}, {_HIGH} select a, b, coalesce(y, 0.0) y from (select * from users, types) g left join high using (a, b)")
+@query("grid_densify_zero", f"with {_ORDERS} select a, b, coalesce(y, 0.0) y from (select * from buyers, kinds) g left join placed using (a, b)")
 def grid_densify_zero(spark, folder):
     return _dense_grid(spark, folder, "zero")
 
 
-@query("grid_densify_null", f"with {_GRID}, {_HIGH} select a, b, y from (select * from users, types) g left join high using (a, b)")
+@query("grid_densify_null", f"with {_ORDERS} select a, b, y from (select * from buyers, kinds) g left join placed using (a, b)")
 def grid_densify_null(spark, folder):
     return _dense_grid(spark, folder, "null")
 
