@@ -192,7 +192,33 @@ def predict_cross_attention(spark, folder):
     return found.scores.select("a", "b", r9("y_hat", 6).alias("y_hat"))
 
 
-@query("predict_char_encoder")
+def char_encoder_sql(width: int, epochs: int, lr: float = 0.05, l2: float = 1e-5, seed: int = 42) -> str:
+    """Gradient descent of the pooled character model unrolled: per epoch both tables, vectors and biases of both sides."""
+    sides = {"a": ("part", "p_partkey", "p_name"), "b": ("supplier", "s_suppkey", "s_name")}
+    out = ["tr as materialized (select a, b, y from folds where fold = 'train')", "nn as (select count(*) n from tr)"]
+    for s, (source, key, text) in sides.items():
+        start = gaussian_sql(f"'{seed}|chars-{s}|' || i || '|' || j")
+        out.append(f"""c{s} as (select cast({key} as varchar) k, unnest(string_split({text}, '')) c from {source}),
+ w{s} as (select c, row_number() over (order by c) i from (select distinct c from c{s} where c <> '')),
+ f{s} as materialized (select k, i, count(*) / sum(count(*)) over (partition by k) f from c{s} join w{s} using (c) group by k, i),
+ t{s}0 as materialized (select i, list({start} * 0.05::double order by j) t from (select unnest(range((select count(*) + 1 from w{s}))) i), (select unnest(range({width})) j) group by i),
+ o{s}0 as materialized (select cast({key} as varchar) k, 0.0::double o from {source})""")
+    lists = lambda term: "list_value(" + ", ".join(term(j) for j in range(1, width + 1)) + ")"
+    pooled = lambda s, e: f"v{s}{e} as materialized (select k, {lists(lambda j: f'sum(f * t[{j}])')} v from f{s} join t{s}{e} using (i) group by k)"
+    score = "1 / (1 + exp(-(list_inner_product(p.v, q.v) + oa.o + ob.o)))"
+    both = lambda e: f"join va{e} p on p.k = a join vb{e} q on q.k = b join oa{e} oa on oa.k = a join ob{e} ob on ob.k = b"
+    for e in range(epochs):
+        out += [pooled("a", e), pooled("b", e), f"er{e} as materialized (select a, b, p.v pv, q.v qv, {score} - y g from tr {both(e)})"]
+        for s, other in (("a", "qv"), ("b", "pv")):
+            out.append(f"""g{s}{e} as materialized (select {s} k, {lists(lambda j, other=other: f'sum(g * {other}[{j}]) / any_value(n)')} g, sum(g) / any_value(n) h from er{e}, nn group by 1),
+ o{s}{e + 1} as materialized (select k, o - {lr}::double * (coalesce(h, 0) + {l2}::double * o) o from o{s}{e} left join g{s}{e} using (k)),
+ d{s}{e} as materialized (select i, {lists(lambda j: f'sum(f * g[{j}])')} d from f{s} join g{s}{e} using (k) group by i),
+ t{s}{e + 1} as materialized (select i, {lists(lambda j: f't[{j}] - {lr}::double * (coalesce(d[{j}], 0) + {l2}::double * t[{j}])')} t from t{s}{e} left join d{s}{e} using (i))""")
+    out += [pooled("a", epochs), pooled("b", epochs)]
+    return f"{', '.join(out)} select a, b, round({score}, 9) y_hat from folds {both(epochs)}"
+
+
+@query("predict_char_encoder", f"with {_SPLIT}, {char_encoder_sql(_WIDTH, _EPOCHS)}")
 def predict_char_encoder(spark, folder):
     config = {"name": "end_to_end_char_encoder", "embedding_dim": _WIDTH, "epochs": _EPOCHS}
     return create_predictor(config)(item_data(spark, folder)).scores.select("a", "b", r9("y_hat").alias("y_hat"))

@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from dyadic.session import cut_lineage
 
 INITIAL_SCALE = 0.05
 SIDES = ("a", "b")
+ENTRIES = 1 << 17  # character frequencies that a task multiplies at once
 
 
 def char_frequencies(entities: DataFrame, max_len: int | None = None) -> tuple[DataFrame, int]:
@@ -51,44 +53,67 @@ def char_frequencies(entities: DataFrame, max_len: int | None = None) -> tuple[D
     return packed.select("key", "p.ids", "p.freqs"), size
 
 
-def _frequency_rows(batch: pd.DataFrame, size: int) -> np.ndarray:
-    rows = np.zeros((len(batch), size + 1))
-    for at, (ids, freqs) in enumerate(zip(batch["ids"], batch["freqs"])):
-        rows[at, np.asarray(ids, dtype=int)] = freqs
-    return rows
+def _entries(rows: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Compressed sparse rows: for runs of entities the row, character and frequency of every entry."""
+    ids, freqs = rows.column("ids"), rows.column("freqs")
+    ends = ids.offsets.to_numpy().astype(np.int64)
+    chars, values = ids.values.to_numpy(), freqs.values.to_numpy()
+    base = int(freqs.offsets[0].as_py()) - int(ends[0]) if len(ends) else 0
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + ENTRIES, side="right")) - 1)
+        low, high = int(ends[at]), int(ends[to])
+        yield slice(at, to), np.repeat(np.arange(to - at), np.diff(ends[at: to + 1])), chars[low:high], values[low + base: high + base]
+        at = to
+
+
+def _of_side(batch: pa.RecordBatch, side: str) -> pa.RecordBatch:
+    return batch.filter(pc.equal(batch.column("side"), side))
+
+
+def _matrix(rows: pa.Array, width: int) -> np.ndarray:
+    return rows.flatten().to_numpy().reshape(len(rows), -1)[:, :width]
 
 
 def pooled_vectors(state: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
     """``(side, key, vec)`` with the bias components appended."""
+    width = tables["a"].shape[1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for side, part in batch.groupby("side"):
-                table = tables[side]
-                pooled = _frequency_rows(part, len(table) - 1) @ table
-                bias, one = part["bias"].to_numpy()[:, None], np.ones((len(part), 1))
-                tail = [bias, one] if side == "a" else [one, bias]
-                yield pd.DataFrame({"side": side, "key": part["key"].to_numpy(),
-                                    "vec": list(np.hstack([pooled, *tail]))})
+            for side in SIDES:
+                part = _of_side(batch, side)
+                vectors = np.ones((len(part), width + 2))
+                vectors[:, :width] = 0.0
+                vectors[:, width if side == "a" else width + 1] = part.column("bias").to_numpy()
+                for here, row, char, freq in _entries(part):
+                    np.add.at(vectors[here, :width], row, freq[:, None] * tables[side][char])
+                offsets = np.arange(len(part) + 1, dtype=np.int32) * (width + 2)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("side"), part.column("key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))], ["side", "key", "vec"])
 
-    return state.mapInPandas(run, "side string, key string, vec array<double>")
+    return state.select("side", "key", "ids", "freqs", "bias").mapInArrow(run, "side string, key string, vec array<double>")
 
 
 def table_gradients(state: DataFrame, tables: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Sum over entities of frequency times vector gradient, per side."""
     width = tables["a"].shape[1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {side: np.zeros_like(table) for side, table in tables.items()}
         for batch in batches:
-            for side, part in batch[batch["grad"].notna()].groupby("side"):
-                grads = np.stack(part["grad"].to_numpy())[:, :width]
-                sums[side] += _frequency_rows(part, len(sums[side]) - 1).T @ grads
+            moved = batch.filter(pc.is_valid(batch.column("grad")))
+            for side in SIDES:
+                part = _of_side(moved, side)
+                grads = _matrix(part.column("grad"), width) if len(part) else None
+                for here, row, char, freq in _entries(part):
+                    np.add.at(sums[side], char, freq[:, None] * grads[here][row])
         for side, matrix in sums.items():
             used = np.flatnonzero(matrix.any(axis=1))
-            yield pd.DataFrame({"side": side, "row": used, "values": list(matrix[used])})
+            yield pa.RecordBatch.from_pydict({"side": [side] * len(used), "row": pa.array(used, pa.int32()), "values": matrix[used].tolist()},
+                                             schema=pa.schema([("side", pa.string()), ("row", pa.int32()), ("values", pa.list_(pa.float64()))]))
 
-    parts = state.select("side", "ids", "freqs", "grad").mapInPandas(
+    parts = state.select("side", "ids", "freqs", "grad").mapInArrow(
         run, "side string, row int, values array<double>"
     )
     sums = parts.groupBy("side", "row").agg(
@@ -135,7 +160,7 @@ def predict(data: PairData, targets: DataFrame | None = None, config: dict | Non
 
     history = []
     for _ in range(epochs):
-        vectors = pooled_vectors(state.select("side", "key", "ids", "freqs", "bias"), tables)
+        vectors = pooled_vectors(state, tables)
         grads = pair_gradients(data, train, cut_lineage(vectors), width + 2, slope).withColumn(
             "grad", F.transform("grad", lambda g: g / F.lit(float(facts.n)))
         )
@@ -149,7 +174,7 @@ def predict(data: PairData, targets: DataFrame | None = None, config: dict | Non
         slopes = table_gradients(state, tables)
         tables = {s: tables[s] - lr * (slopes[s] + l2 * tables[s]) for s in SIDES}
 
-    vectors = cut_lineage(pooled_vectors(state.select("side", "key", "ids", "freqs", "bias"), tables))
+    vectors = cut_lineage(pooled_vectors(state, tables))
     score = dot("_va", "_vb")
     score = sigmoid(score) if facts.binary else score * F.lit(scale) + F.lit(shift)
     scored = with_vectors(data, cells, vectors)
