@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from dyadic.functions.hashing import digest_number, seeded_digest
 from dyadic.functions.vectors import let
+from dyadic.session import cut_lineage
 
 DIGEST_DIGITS = 4  # 65,536 equal digest buckets
-MAX_RANGES = 1024  # value ranges of an ordered column
+MAX_RANGES = 1024  # value ranges of the first level; ranges that are still too large are split further
 ROWS_PER_RANGE = 50_000  # below this a table is one range
 STRING_RANGES = 256
 STRING_SAMPLE = 8192
+BOUNDS = 1024  # inner bounds by which one range is split on a further level
+OVERSIZE = 4  # a range of that many times the wanted rows is split
 
 
 def permutation_cutoffs(
@@ -79,6 +82,7 @@ class Ranges:
 
     bounds: tuple
     frequent: frozenset
+    capped: bool = False  # there are more rows than these ranges can hold
 
     def bucket(self, column: str) -> Column:
         if not self.bounds:
@@ -109,14 +113,14 @@ class Ranges:
         )
 
 
-def _ranges(quantiles: Sequence, parts: int) -> Ranges:
+def _ranges(quantiles: Sequence, parts: int, capped: bool = False) -> Ranges:
     """Thin out evenly spaced quantiles to ``parts`` ranges; a repeated quantile marks a frequent value."""
     if parts <= 1 or not quantiles:
         return Ranges((), frozenset())
     step = (len(quantiles) + 1) // parts or 1
     picked = list(quantiles[step - 1 :: step])
     frequent = {v for v, w in zip(picked, picked[1:]) if v == w}
-    return Ranges(tuple(sorted(set(picked))), frozenset(frequent))
+    return Ranges(tuple(sorted(set(picked))), frozenset(frequent), capped)
 
 
 def measure_ranges(
@@ -130,8 +134,8 @@ def measure_ranges(
     row = frame.agg(
         *[F.expr(f"percentile_approx({c}, array({probs}), {4 * max_ranges})").alias(c) for c in columns]
     ).first()
-    parts = min(max_ranges, math.ceil(n / rows_per_range))
-    return n, {c: _ranges(row[c] or [], parts) for c in columns}
+    parts = math.ceil(n / rows_per_range)
+    return n, {c: _ranges(row[c] or [], min(max_ranges, parts), parts > max_ranges) for c in columns}
 
 
 def string_ranges(frame: DataFrame, column: str, sample: int = STRING_SAMPLE) -> Ranges:
@@ -141,34 +145,68 @@ def string_ranges(frame: DataFrame, column: str, sample: int = STRING_SAMPLE) ->
         return Ranges((), frozenset())
     values = sorted((r[0] for r in rows), key=lambda s: s.encode())
     step = sample // STRING_RANGES
-    return Ranges(tuple(values[step::step]), frozenset())
+    return Ranges(tuple(values[step::step]), frozenset(), True)
+
+
+def refine(keyed: DataFrame, key: str, levels: list[str], limit: int) -> tuple[DataFrame, list[str]]:
+    """Split buckets of more than ``limit`` rows, level by level, until none is left. Keys are distinct.
+
+    A bucket is split at a hash sample of its own keys. Each level adds a column; a bucket is named by all of them, and
+    the buckets within one parent are bounded by ``BOUNDS``.
+    """
+    while True:
+        big = cut_lineage(keyed.groupBy(*levels).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit))
+        if big.isEmpty():
+            return keyed, levels
+        share = F.least(F.lit(BOUNDS), F.ceil(F.lit(OVERSIZE) * F.col("_rows") / limit)) / F.col("_rows")
+        drawn = F.pmod(F.xxhash64(key, F.lit(len(levels))), F.lit(1 << 40)) / float(1 << 40)
+        sample = keyed.join(big, levels).where(drawn < share)
+        bounds = sample.groupBy(*levels).agg(F.slice(F.sort_array(F.collect_list(key)), 1, 4 * BOUNDS - 1).alias("_bounds"))
+        strides = F.array(*[F.lit(2**k) for k in reversed(range((4 * BOUNDS).bit_length()))])
+        below = F.aggregate(strides, F.lit(0), lambda at, by: F.when(F.get("_bounds", at + by - 1) < F.col(key), at + by).otherwise(at))
+        name = f"_g{len(levels)}"
+        keyed = cut_lineage(keyed.join(cut_lineage(bounds), levels, "left").withColumn(name, F.coalesce(below, F.lit(0))).drop("_bounds"))
+        levels = [*levels, name]
+
+
+def offsets_before(totals: DataFrame, levels: list[str], outs: list[str], descending: Sequence[str] = ()) -> DataFrame:
+    """Per bucket the sums (``_o_<out>``) over all buckets before it, from its totals (``_t_<out>``).
+
+    Every level orders the buckets of one parent, so no window sees all buckets of a deep hierarchy.
+    """
+    found = totals.select(*levels)
+    for depth, level in enumerate(levels):
+        parents, own = levels[:depth], levels[: depth + 1]
+        at = totals if own == levels else totals.groupBy(*own).agg(*[F.sum(f"_t_{o}").alias(f"_t_{o}") for o in outs])
+        before = W.partitionBy(*parents).orderBy(F.col(level).desc() if level in descending else F.col(level)).rowsBetween(W.unboundedPreceding, -1)
+        part = at.select(*own, *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_p{depth}_{o}") for o in outs])
+        found = found.join(part, own)
+    return found.select(*levels, *[reduce(lambda x, y: x + y, [F.col(f"_p{d}_{o}") for d in range(len(levels))]).alias(f"_o_{o}") for o in outs])
 
 
 def prefix_sums(
-    grouped: DataFrame, key: str, sums: dict[str, str], ranges: Ranges, descending: bool = False
+    grouped: DataFrame, key: str, sums: dict[str, str], ranges: Ranges, descending: bool = False, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Add running totals (including the row itself) over the global order of a *distinct* key.
 
     ``sums`` maps output column to input column. ``grouped`` has one row per key value, so no bucket can be
-    dominated by a repeated value.
+    dominated by a repeated value, and a bucket that is too large can always be split.
     """
     order = F.col(key).desc() if descending else F.col(key).asc()
-    inside = W.partitionBy("_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    keyed = grouped.withColumn("_bucket", ranges.bucket(key))
+    keyed, levels = grouped.withColumn("_g0", ranges.bucket(key)), ["_g0"]
+    if ranges.capped:
+        keyed, levels = refine(cut_lineage(keyed), key, levels, OVERSIZE * rows_per_range)
+    inside = W.partitionBy(*levels).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = keyed.select("*", *[F.sum(src).over(inside).alias(out) for out, src in sums.items()])
-    if not ranges.bounds:
-        return local.drop("_bucket")
-    # At most 2 * MAX_RANGES + 1 rows: one window over them and a broadcast are both bounded.
-    bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    before = W.orderBy(bucket_order).rowsBetween(W.unboundedPreceding, -1)
-    totals = keyed.groupBy("_bucket").agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])
-    offsets = totals.select(
-        "_bucket",
-        *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_o_{out}") for out in sums],
-    )
-    joined = local.join(F.broadcast(offsets), "_bucket")
-    kept = [c for c in grouped.columns]
-    return joined.select(*kept, *[(F.col(out) + F.col(f"_o_{out}")).alias(out) for out in sums])
+    if not ranges.bounds and len(levels) == 1:
+        return local.drop("_g0")
+    totals = keyed.groupBy(*levels).agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])
+    if ranges.capped:
+        offsets = offsets_before(cut_lineage(totals), levels, list(sums), levels if descending else ())
+    else:  # at most 2 * MAX_RANGES + 1 rows
+        offsets = F.broadcast(offsets_before(totals, levels, list(sums), levels if descending else ()))
+    joined = local.join(offsets, levels)
+    return joined.select(*grouped.columns, *[(F.col(out) + F.col(f"_o_{out}")).alias(out) for out in sums])
 
 
 def sorted_position(frame: DataFrame, key: str, out: str = "idx") -> DataFrame:

@@ -126,3 +126,36 @@ def test_sorted_position_over_string_ranges(spark, monkeypatch):
     found = {r.key: r.idx for r in sorted_position(data, "key").collect()}
     assert found == {k: i for i, k in enumerate(sorted(keys, key=lambda s: s.encode()))}
     assert data.select(F.max("key")).first()[0] == "é"
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_oversized_ranges_are_split_level_by_level(spark, monkeypatch, descending):
+    from dyadic.operators import ordering
+
+    monkeypatch.setattr(ordering, "BOUNDS", 4)
+    values = [(float(v * v % 100_003), v % 7 + 1) for v in range(4000)]
+    data = spark.createDataFrame([(v, sum(w for x, w in values if x == v)) for v in {v for v, _ in values}], "v double, w int")
+    _, ranges = measure_ranges(data, ["v"], 10, max_ranges=4)
+    assert ranges["v"].capped and len(ranges["v"].bounds) == 3
+    keyed, levels = ordering.refine(data.withColumn("_g0", ranges["v"].bucket("v")), "v", ["_g0"], 40)
+    assert len(levels) >= 3 and keyed.groupBy(*levels).count().agg(F.max("count")).first()[0] <= 40
+    assert keyed.groupBy(*levels[:-1]).agg(F.countDistinct(levels[-1]).alias("n")).agg(F.max("n")).first()[0] <= 16
+    found = {r.v: r.t for r in prefix_sums(data, "v", {"t": "w"}, ranges["v"], descending, rows_per_range=10).collect()}
+    total = 0
+    for v, w in sorted(((r.v, r.w) for r in data.collect()), reverse=descending):
+        total += w
+        assert found[v] == total
+
+
+def test_many_equal_scores_are_dealt_in_levels(spark):
+    import hashlib
+
+    _, p = skewed(2000)
+    p[:1500] = 0.25
+    labels = (np.random.default_rng(3).random(2000) < 0.4).astype(float)
+    order = sorted(range(2000), key=lambda i: (-p[i], hashlib.md5(f"0|{i}".encode()).hexdigest()))
+    hits = labels[order]
+    expected = (np.cumsum(hits) / np.arange(1, 2001))[hits == 1].sum() / hits.sum()
+    for tie_rows in (2, 100, 10_000):  # two levels, one level, none
+        found = binary_metrics.auprc(frame(spark, labels, p), ["k"], tie_rows=tie_rows).first().auprc
+        assert found == pytest.approx(expected, abs=1e-12)
