@@ -17,15 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadic.functions.hashing import gaussian_matrix
-from dyadic.functions.numeric import clip, sigmoid
+from dyadic.functions.numeric import sigmoid
 from dyadic.functions.text import char_counts, char_vocabulary, code_point_table
 from dyadic.functions.vectors import dot, let, total
 from dyadic.operators.pairs import PairData
 from dyadic.predictors.base import Prediction, target_cells
-from dyadic.predictors.gradients import pair_gradients, squared_slope, with_vectors
+from dyadic.predictors.gradients import DealtPairs, squared_slope, with_vectors
 from dyadic.session import cut_lineage
 
-INITIAL_SCALE = 0.05
+INITIAL_SCALE, SCORE_BOUND = 0.05, 50.0
 SIDES = ("a", "b")
 ENTRIES = 1 << 17  # character frequencies that a task multiplies at once
 
@@ -76,7 +76,7 @@ def _matrix(rows: pa.Array, width: int) -> np.ndarray:
 
 
 def pooled_vectors(state: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
-    """``(side, key, vec)`` with the bias components appended."""
+    """``(side, key, block, no, vec)`` with the bias components appended."""
     width = tables["a"].shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +90,11 @@ def pooled_vectors(state: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame
                     np.add.at(vectors[here, :width], row, freq[:, None] * tables[side][char])
                 offsets = np.arange(len(part) + 1, dtype=np.int32) * (width + 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("side"), part.column("key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))], ["side", "key", "vec"])
+                    [*map(part.column, ["side", "key", "block", "no"]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.ravel()))],
+                    ["side", "key", "block", "no", "vec"])
 
-    return state.select("side", "key", "ids", "freqs", "bias").mapInArrow(run, "side string, key string, vec array<double>")
+    return state.select("side", "key", "block", "no", "ids", "freqs", "bias").mapInArrow(
+        run, "side string, key string, block int, no int, vec array<double>")
 
 
 def table_gradients(state: DataFrame, tables: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -125,10 +127,10 @@ def table_gradients(state: DataFrame, tables: dict[str, np.ndarray]) -> dict[str
     return found
 
 
-def cross_entropy_slope(score: Column, y: Column) -> tuple[Column, Column]:
-    p = sigmoid(score)
-    safe = clip(p, 1e-8, 1.0 - 1e-8)
-    return p - y, -(y * F.log(safe) + (1.0 - y) * F.log(1.0 - safe))
+def cross_entropy_slope(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1.0 / (1.0 + np.exp(-np.clip(score, -SCORE_BOUND, SCORE_BOUND)))
+    safe = np.clip(p, 1e-8, 1.0 - 1e-8)
+    return p - y, -(y * np.log(safe) + (1.0 - y) * np.log(1.0 - safe))
 
 
 def predict(data: PairData, targets: DataFrame | None = None, config: dict | None = None) -> Prediction:
@@ -156,24 +158,26 @@ def predict(data: PairData, targets: DataFrame | None = None, config: dict | Non
         tables[side] = np.array(gaussian_matrix(seed, f"chars-{side}", size + 1, width)) * INITIAL_SCALE
         part = frequencies.select(F.lit(side).alias("side"), "key", "ids", "freqs", F.lit(0.0).alias("bias"))
         state = part if state is None else state.unionByName(part)
-    state = cut_lineage(state)
+    dealt = DealtPairs.deal(data, train)
+    state = cut_lineage(state.join(dealt.nodes, ["side", "key"]))
 
     history = []
     for _ in range(epochs):
         vectors = pooled_vectors(state, tables)
-        grads = pair_gradients(data, train, cut_lineage(vectors), width + 2, slope).withColumn(
+        grads = dealt.gradients(cut_lineage(vectors), width + 2, slope).withColumn(
             "grad", F.transform("grad", lambda g: g / F.lit(float(facts.n)))
         )
         at = F.when(F.col("side") == "a", width).otherwise(width + 1)
         bias_slope = F.coalesce(F.get("grad", at), F.lit(0.0)) + F.lit(l2) * F.col("bias")
         state = cut_lineage(
-            state.select("side", "key", "ids", "freqs", "bias").join(grads, ["side", "key"], "left")
+            state.select("side", "key", "block", "no", "ids", "freqs", "bias").join(grads, ["side", "block", "no"], "left")
             .withColumn("bias", F.col("bias") - F.lit(lr) * bias_slope)
         )
         history.append(state.agg(F.sum("loss")).first()[0] / facts.n)
         slopes = table_gradients(state, tables)
         tables = {s: tables[s] - lr * (slopes[s] + l2 * tables[s]) for s in SIDES}
 
+    dealt.forget()
     vectors = cut_lineage(pooled_vectors(state, tables))
     score = dot("_va", "_vb")
     score = sigmoid(score) if facts.binary else score * F.lit(scale) + F.lit(shift)

@@ -1,26 +1,35 @@
-"""One full-batch gradient step over all training pairs, as joins and aggregations.
+"""Full-batch gradient steps over all training pairs, with the pairs dealt once.
 
-Vectors of both sides live in one table ``(side, key, vec)``. A step joins them to the pairs, evaluates the slope
-of the loss at each pair, and sums ``slope * other vector`` per entity. Sums are partially aggregated
-before the shuffle and the joins salt hot entities, so an entity with a third of all pairs is not a bottleneck.
-Nothing that grows with the data is broadcast by force or collected.
+Entities of a side are numbered within blocks, and pairs are dealt into cells: all pairs of one left block and one right
+block, in several pieces where they are many. Cells are packed and stored as a table that is bucketed by the cell. A step
+sends every block of vectors to the cells it has pairs in and adds up the partial gradients; the pairs themselves are
+read where they lie and are not exchanged again. A task holds one cell and two blocks of vectors, however often an
+entity occurs. Nothing that grows with the data is broadcast by force or collected.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dyadic.functions.vectors import dot
 from dyadic.operators.pairs import PairData
 from dyadic.operators.skew import lookup
+from dyadic.session import checkpoint_folder, cut_lineage
 
-Slope = Callable[[Column, Column], tuple[Column, Column]]
+#: Entities of a block, pairs of a cell, pairs that a task multiplies at once.
+BLOCK, CELL_PAIRS, CHUNK = 4096, 1 << 20, 1 << 15
 
+Slope = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
-def squared_slope(score: Column, y: Column) -> tuple[Column, Column]:
+
+def squared_slope(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slope and loss of the squared error."""
     return 2.0 * (score - y), (score - y) * (score - y)
 
@@ -35,20 +44,100 @@ def with_vectors(data: PairData, cells: DataFrame, vectors: DataFrame) -> DataFr
     return lookup(cells, side_vectors(vectors, "b", "_vb"), "b", data.hot["b"], ["a"])
 
 
-def pair_gradients(data: PairData, train: DataFrame, vectors: DataFrame, width: int, slope: Slope) -> DataFrame:
-    """``(side, key, grad, loss)``: summed gradients; the loss is counted on side a only."""
-    scored = with_vectors(data, train.select("a", "b", "y"), vectors).withColumn("_score", dot("_va", "_vb"))
-    steepness, loss = slope(F.col("_score"), F.col("y"))
-    both = scored.withColumn("_g", steepness).withColumn("_loss", loss).select(
-        F.inline(F.array(
-            F.struct(F.lit("a").alias("side"), F.col("a").alias("key"), F.col("_vb").alias("other"),
-                     F.col("_g").alias("g"), F.col("_loss").alias("loss")),
-            F.struct(F.lit("b").alias("side"), F.col("b").alias("key"), F.col("_va").alias("other"),
-                     F.col("_g").alias("g"), F.lit(0.0).alias("loss")),
-        ))
-    )
-    sums = both.groupBy("side", "key").agg(
-        *[F.sum(F.col("g") * F.get("other", F.lit(i))).alias(f"_{i}") for i in range(width)],
-        F.sum("loss").alias("loss"),
-    )
-    return sums.select("side", "key", F.array(*[F.col(f"_{i}") for i in range(width)]).alias("grad"), "loss")
+def _numbered(entities: DataFrame, side: str, blocks: int) -> DataFrame:
+    place = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+    return entities.select(F.lit(side).alias("side"), "key", place.alias("block")).withColumn(
+        "no", F.row_number().over(W.partitionBy("block").orderBy("key")) - 1)
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    blob = lambda c, kind: [table.column(c).to_numpy().astype(kind).tobytes()]
+    return pa.table({"cell": table.column("cell")[:1].combine_chunks(), "a": pa.array(blob("a_no", np.int32), pa.binary()),
+                     "b": pa.array(blob("b_no", np.int32), pa.binary()), "y": pa.array(blob("y", np.float64), pa.binary())})
+
+
+def _cell_gradients(pairs: pa.Table, vectors: pa.Table, slope: Slope, width: int) -> pa.Table:
+    """Partial gradients (side, block, no, grad, loss) of one cell."""
+    side = np.asarray(vectors.column("side").to_pylist())
+    block, no = vectors.column("block").to_numpy(), vectors.column("no").to_numpy()
+    values = vectors.column("vec").combine_chunks().flatten().to_numpy().reshape(len(side), -1)
+    tables, sums, total = {}, {}, 0.0
+    for s in ("a", "b"):
+        own = side == s
+        tables[s] = np.zeros((no[own].max() + 1 if own.any() else 0, width))
+        tables[s][no[own]] = values[own]
+        sums[s] = np.zeros_like(tables[s])
+    a, b = (np.frombuffer(pairs.column(c)[0].as_py(), dtype=np.int32) for c in ("a", "b"))
+    y = np.frombuffer(pairs.column("y")[0].as_py(), dtype=np.float64)
+    for at in range(0, len(y), CHUNK):
+        i, j = a[at: at + CHUNK], b[at: at + CHUNK]
+        left, right = tables["a"][i], tables["b"][j]
+        steep, loss = slope(np.einsum("ij,ij->i", left, right), y[at: at + CHUNK])
+        total += float(loss.sum())
+        for d in range(width):
+            sums["a"][:, d] += np.bincount(i, weights=steep * right[:, d], minlength=len(sums["a"]))
+            sums["b"][:, d] += np.bincount(j, weights=steep * left[:, d], minlength=len(sums["b"]))
+    touched = {"a": np.unique(a), "b": np.unique(b)}
+    rows = np.concatenate([sums[s][touched[s]] for s in ("a", "b")])
+    loss = np.zeros(len(rows))
+    loss[:1] = total  # the loss of a cell rides on its first left entity
+    return pa.table({
+        "side": pa.array(["a"] * len(touched["a"]) + ["b"] * len(touched["b"]), pa.string()),
+        "block": pa.array(np.repeat([block[side == s][0] for s in ("a", "b")], [len(touched["a"]), len(touched["b"])]), pa.int32()),
+        "no": pa.array(np.concatenate([touched["a"], touched["b"]]), pa.int32()),
+        "grad": pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(rows.ravel())),
+        "loss": pa.array(loss)})
+
+
+@dataclass
+class DealtPairs:
+    """Training pairs in cells. ``nodes``: (side, key, block, no); ``cells``: (cell, a_block, b_block)."""
+
+    nodes: DataFrame
+    cells: DataFrame
+    name: str
+
+    @classmethod
+    def deal(cls, data: PairData, train: DataFrame, block: int = BLOCK, cell_pairs: int | None = None) -> DealtPairs:
+        """``cell_pairs`` is by default what gives every core a cell, within bounds."""
+        spark = train.sparkSession
+        if cell_pairs is None:
+            cell_pairs = min(CELL_PAIRS, max(CELL_PAIRS >> 4, data.size // spark.sparkContext.defaultParallelism))
+        blocks = {s: -(-e.count() // block) or 1 for s, e in (("a", data.left), ("b", data.right))}
+        nodes = cut_lineage(_numbered(data.left, "a", blocks["a"]).unionByName(_numbered(data.right, "b", blocks["b"])))
+        placed = train.select("a", "b", "y")
+        for s, other in (("a", "b"), ("b", "a")):
+            numbers = nodes.where(F.col("side") == s).select(F.col("key").alias(s), F.col("block").alias(f"{s}_block"), F.col("no").alias(f"{s}_no"))
+            placed = lookup(placed, numbers, s, data.hot[s], [other], how="inner")
+        placed = cut_lineage(placed.select("a_block", "b_block", "a_no", "b_no", "y"))
+        counts = placed.groupBy("a_block", "b_block").agg(F.ceil(F.count("*") / cell_pairs).cast("long").alias("pieces"))
+        # cells are numbered by their blocks and piece; a piece number needs at most the digits of all pairs
+        number = (F.col("a_block").cast("long") * blocks["b"] + F.col("b_block")) * (1 + data.size // cell_pairs)
+        counts = cut_lineage(counts.withColumn("first", number))
+        cells = counts.select(F.explode(F.sequence("first", F.col("first") + F.col("pieces") - 1)).alias("cell"), "a_block", "b_block")
+        dealt = placed.join(counts, ["a_block", "b_block"]).select(
+            (F.col("first") + F.pmod(F.xxhash64("a_no", "b_no"), F.col("pieces"))).alias("cell"), "a_no", "b_no", "y")
+        packed = dealt.groupBy("cell").applyInArrow(_packed, "cell long, a binary, b binary, y binary")
+        name = f"dyadic_cells_{uuid.uuid4().hex}"
+        buckets = max(1, min(cells.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        packed.write.bucketBy(buckets, "cell").option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name)
+        return cls(nodes, cells, name)
+
+    def gradients(self, vectors: DataFrame, width: int, slope: Slope) -> DataFrame:
+        """(side, block, no, grad, loss): summed gradients for vectors (side, block, no, vec); losses stand on side a."""
+        facing = None
+        for s in ("a", "b"):
+            own = self.cells.select("cell", F.col(f"{s}_block").alias("block"))
+            part = vectors.where(F.col("side") == s).select("side", "block", "no", "vec").join(own, "block")
+            facing = part if facing is None else facing.unionByName(part)
+        run = lambda pairs, met: _cell_gradients(pairs, met, slope, width)
+        pairs = vectors.sparkSession.table(self.name)
+        parts = pairs.groupBy("cell").cogroup(facing.groupBy("cell")).applyInArrow(
+            run, "side string, block int, no int, grad array<double>, loss double")
+        sums = parts.groupBy("side", "block", "no").agg(
+            *[F.sum(F.get("grad", F.lit(i))).alias(f"_{i}") for i in range(width)], F.sum("loss").alias("loss"))
+        return sums.select("side", "block", "no", F.array(*[F.col(f"_{i}") for i in range(width)]).alias("grad"), "loss")
+
+    def forget(self) -> None:
+        """Drop the table's name; its files stay in the shared folder, which its owner clears."""
+        self.nodes.sparkSession.sql(f"drop table if exists {self.name}")
