@@ -107,7 +107,7 @@ def pieces_before(totals: DataFrame, pieces: list[str]) -> DataFrame:
 
 def evaluate_binary(frame: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """One row with all binary metrics; they are NULL without valid rows."""
-    valid = finite_pairs(frame).select("y", "y_hat", *keys).persist()
+    valid = cut_lineage(finite_pairs(frame).select("y", "y_hat", *keys))
     measured = measure_ranges(valid, ["y_hat"])
     return confusion(valid, threshold).select(
         auroc(valid, measured).scalar().alias("auroc"),

@@ -12,6 +12,7 @@ from dyadic.functions.numeric import FLOOR, clip, is_finite
 from dyadic.operators.concordance import concordance
 from dyadic.operators.ordering import Ranges, measure_ranges, prefix_sums
 from dyadic.operators.skew import find_hot_keys, lookup
+from dyadic.session import cut_lineage
 
 
 def finite_pairs(frame: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def spearman(frame: DataFrame, measured: tuple[int, dict[str, Ranges]] | None =
 
 def evaluate_regression(frame: DataFrame) -> DataFrame:
     """One row with mse, rmse, pearson, spearman, ci, n_evaluated; metrics are NULL without valid rows."""
-    valid = finite_pairs(frame).select("y", "y_hat").persist()
+    valid = cut_lineage(finite_pairs(frame).select("y", "y_hat"))
     measured = measure_ranges(valid, ["y", "y_hat"])
     return linear_metrics(valid).select(
         "mse", "rmse", "pearson",

@@ -262,7 +262,7 @@ def rank_average(spark, folder):
 @query("metric_spearman", f"""with {METRIC_ROWS}, r as (select {_RANK.format(c='y')} ry, {_RANK.format(c='y_hat')} rp from m)
  select round({corr_sql('r', 'ry', 'rp')}, 9) spearman""")
 def metric_spearman(spark, folder):
-    return regression_metrics.spearman(metric_rows(spark, folder).persist()).select(r9("spearman").alias("spearman"))
+    return regression_metrics.spearman(cut_lineage(metric_rows(spark, folder))).select(r9("spearman").alias("spearman"))
 
 
 # Counts the lower truths below each prediction, level by level of the (few) truth values.
@@ -276,7 +276,7 @@ _CI = """lv as (select distinct y lvl from m), pc as (select y, y_hat, count(*)
 
 @query("metric_concordance", f"with {METRIC_ROWS}, {_CI} select round(found / total, 9) ci from ct, tt")
 def metric_concordance(spark, folder):
-    return concordance(metric_rows(spark, folder).persist()).select(r9("ci").alias("ci"))
+    return concordance(cut_lineage(metric_rows(spark, folder))).select(r9("ci").alias("ci"))
 
 
 @query("evaluate_regression", f"""with {METRIC_ROWS}, {_CI}, r as (select *, {_RANK.format(c='y')} ry, {_RANK.format(c='y_hat')} rp from m)
@@ -313,12 +313,12 @@ def metric_confusion(spark, folder):
 
 @query("metric_auroc", f"with {SCORE_ROWS}, {_AUROC} select round(auroc, 9) auroc from au")
 def metric_auroc(spark, folder):
-    return binary_metrics.auroc(score_rows(spark, folder).persist()).select(r9("auroc").alias("auroc"))
+    return binary_metrics.auroc(cut_lineage(score_rows(spark, folder))).select(r9("auroc").alias("auroc"))
 
 
 @query("metric_auprc", f"with {SCORE_ROWS}, {_AUPRC} select round(auprc, 9) auprc from ap")
 def metric_auprc(spark, folder):
-    return binary_metrics.auprc(score_rows(spark, folder).persist(), ["doc_id"]).select(r9("auprc").alias("auprc"))
+    return binary_metrics.auprc(cut_lineage(score_rows(spark, folder)), ["doc_id"]).select(r9("auprc").alias("auprc"))
 
 
 @query("evaluate_binary", f"""with {SCORE_ROWS}, {_CONFUSION}, {_AUROC}, {_AUPRC} select round(auroc, 9) auroc, round(auprc, 9) auprc,

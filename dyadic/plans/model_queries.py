@@ -152,6 +152,25 @@ def predict_dual_view(spark, folder):
     return create_predictor("dual_frozen_backbone")(item_data(spark, folder)).scores.select("a", "b", r9("y_hat", 6).alias("y_hat"))
 
 
+def _stored(side: str, source: str, key: str, text: str) -> str:
+    """Unit vectors of one side: the stored one by key, else the hashed text at the stored width."""
+    return f"""{side}r as (select cast({key} as varchar) k, coalesce(e.embedding::double[], {hash_list(text, 64)}) v from {source} left join embeddings e on vec_id = {key}),
+ {side}u as materialized (select k, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) v from {side}r)"""
+
+
+@query("predict_dual_view_stored", f"""with {LABELLED}, {folds('labelled')}, {_stored('p', 'part', 'p_partkey', 'p_name')}, {_stored('s', 'supplier', 's_suppkey', 's_name')},
+ rr as (select a, avg(y) rm from folds where fold = 'train' group by a), cc as (select b, avg(y) cm from folds where fold = 'train' group by b),
+ gg as (select avg(y) gm from folds where fold = 'train'),
+ x as materialized (select a, b, y, fold, greatest(0, least(1, (list_inner_product(pu.v, su.v) + 1) * 0.5::double)) sim, coalesce(rm, gm) rm, coalesce(cm, gm) cm
+ from folds join pu on pu.k = a join su on su.k = b left join rr using (a) left join cc using (b), gg), xt as (select * from x where fold = 'train'),
+ {fit_sql('xt', ['sim', 'rm', 'cm'], 'fit')} select a, b, round(greatest(0, least(1, b0 + b1 * sim + b2 * rm + b3 * cm)), 6) y_hat from x, fit""")
+def predict_dual_view_stored(spark, folder):
+    """Dual view over stored vectors; entities without one are hashed at the stored width."""
+    stored = table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("key"), "embedding")
+    model = {"name": "dual_frozen_backbone", "left_vectors": stored, "right_vectors": stored}
+    return create_predictor(model)(item_data(spark, folder)).scores.select("a", "b", r9("y_hat", 6).alias("y_hat"))
+
+
 def _projected(vector, tag):
     weights = [f"list_sum(list_transform(range(16), lambda i: {vector}[i + 1] * w_{tag}[i * {_WIDTH} + {j + 1}]))" for j in range(_WIDTH)]
     return f"list_transform(list_value({', '.join(weights)}), lambda x: tanh(x))"

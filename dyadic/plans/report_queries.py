@@ -27,11 +27,15 @@ def run_identity_parse(spark, folder):
     return reports.parse_regression_identity(run_records(spark, folder)).select("event_id", *_KEYS, "seed")
 
 
-@query("summary_flatten", """select event_id, try_cast(json_extract_string(props, '$.k') as double) k,
- try_cast(json_extract_string(props, '$.metrics.ci') as double) ci from events""")
+@query("summary_flatten", """select event_id, try_cast(json_extract_string(props, '$.k') as double) k, round(value / 500, 9) ci,
+ cast(null as double) absent from events""")
 def summary_flatten(spark, folder):
-    flat = reports.flatten_json(table(spark, folder, "events"), "props", {"k": "$.k", "ci": "$.metrics.ci"})
-    return flat.select("event_id", "k", "ci")
+    """Summaries as nested JSON texts, flattened by path; a path that is not there is NULL."""
+    events = table(spark, folder, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    summary = F.to_json(F.struct(k.alias("k"), F.struct((F.col("value") / 500).alias("ci")).alias("metrics")))
+    flat = reports.flatten_json(events.withColumn("summary", summary), "summary", {"k": "$.k", "ci": "$.metrics.ci", "absent": "$.metrics.none"})
+    return flat.select("event_id", "k", r9("ci").alias("ci"), "absent")
 
 
 @query("dedupe_latest", f"with {_LATEST} select run_name, summary_path, ci, rmse, status, event_id from latest")

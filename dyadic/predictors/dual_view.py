@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadic.functions.hashing import gaussian_matrix
 from dyadic.functions.numeric import clip
 from dyadic.functions.text import hash_map, hash_vector
-from dyadic.functions.vectors import let, matrix_times, shifted_cosine, sparse_dot, unit
+from dyadic.functions.vectors import sparse_dot, unit
 from dyadic.operators.least_squares import fit_linear, linear_value
 from dyadic.operators.marginals import attach_marginals
+from dyadic.operators.pair_dots import pair_dots
 from dyadic.operators.pairs import PairData
 from dyadic.operators.splits import sample_exact
 from dyadic.predictors.base import Prediction, attach, target_cells
+from dyadic.session import cut_lineage
 
 DEFAULT_WIDTH = 768
 CALIBRATION = ["base", "sim", "row_mean", "col_mean"]
@@ -48,17 +54,22 @@ def missing_embeddings(entities: DataFrame, table: DataFrame, key: str = "key")
     return entities.join(table.select(F.col(key).cast("string").alias("key")), "key", "left_anti")
 
 
-def constant_matrix(rows: list[list[float]]) -> Column:
-    """Driver-side matrix as a constant ``array<array<double>>``."""
-    text = ";".join(",".join(repr(v) for v in row) for row in rows)
-    return F.transform(F.split(F.lit(text), ";"), lambda line: F.split(line, ",").cast("array<double>"))
+def project(vectors: DataFrame, seed: int, tag: str, width_in: int, width_out: int) -> DataFrame:
+    """``(key, vec)`` mapped to ``width_out`` dimensions by a seeded Gaussian matrix over sqrt(width_in).
 
+    The matrix has ``width_in * width_out`` numbers, whatever the number of vectors, and is sent to the tasks once.
+    """
+    matrix = np.array(gaussian_matrix(seed, tag, width_out, width_in)).T / max(width_in, 1) ** 0.5
+    shared = vectors.sparkSession.sparkContext.broadcast(matrix)
+    rows = vectors.select("key", F.col("vec").cast("array<double>").alias("vec"))
 
-def project(vectors: DataFrame, seed: int, tag: str, width_in: int, width_out: int) -> DataFrame:
-    """``(key, vec)`` mapped to ``width_out`` dimensions by a seeded Gaussian matrix over sqrt(width_in)."""
-    root = max(width_in, 1) ** 0.5
-    rows = [[v / root for v in row] for row in gaussian_matrix(seed, tag, width_out, width_in)]
-    return vectors.select("key", let(constant_matrix(rows), lambda m: matrix_times(m, "vec")).alias("vec"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("vec").flatten().to_numpy().reshape(len(batch), width_in) @ shared.value
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * width_out)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], ["key", "vec"])
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _width(vectors: DataFrame) -> int:
@@ -85,9 +96,8 @@ def view_similarity(data: PairData, cells: DataFrame, config: dict) -> DataFrame
         shared, seed = min(width_left, width_right), int(config.get("seed", 42))
         left = project(left, seed, "left", width_left, shared)
         right = project(right, seed, "right", width_right, shared)
-    cells = attach(data, cells, "a", left.select("key", unit("vec").alias("_va")))
-    cells = attach(data, cells, "b", right.select("key", unit("vec").alias("_vb")))
-    return cells.withColumn("sim", shifted_cosine("_va", "_vb")).drop("_va", "_vb")
+    left, right = (cut_lineage(side.select("key", unit("vec").alias("vec"))) for side in (left, right))
+    return pair_dots(cells, left, right).withColumn("sim", clip((F.col("dot") + 1.0) * 0.5, 0.0, 1.0)).drop("dot")
 
 
 def design(data: PairData, cells: DataFrame, config: dict) -> DataFrame:

@@ -59,6 +59,8 @@ RULES = {
         "objective": (_named(OBJECTIVES), "auto, binary_classification or regression"),
         "left_vectors": (_text_or_none, "a path or null"),
         "right_vectors": (_text_or_none, "a path or null"),
+        "chemberta_npz_path": (_text_or_none, "a path or null"),
+        "ankh_npz_path": (_text_or_none, "a path or null"),
         "fusion_alpha": (_unit_range, "a number in [0, 1]"),
         "max_calibration_samples": (_at_least(1000), "an integer of at least 1000"),
         "embedding_dim": (_at_least(8), "an integer of at least 8"),
@@ -91,24 +93,48 @@ RULES = {
 # Models whose score grows with an inner product of entity vectors.
 SEARCHABLE = ("simple_baseline", "matrix_factorization")
 REQUIRED = {"dataset": ["name", "path"]}
+# Keys that are read without a rule of their own.
+UNRULED = {
+    "dataset": {"path"},
+    "model": {"drug_embedding_path", "target_embedding_path"},  # accepted, and without effect on any model
+    "causal": {"lambda_xview", "lambda_mas", "lambda_irm", "lambda_cf", "mas_config", "irm_cf_config"},
+}
+# Other names of the settings for stored vectors, and the settings they stand for.
+VECTOR_NAMES = {"chemberta_npz_path": "left_vectors", "ankh_npz_path": "right_vectors",
+                "drug_npz_path": "drug_vectors", "prot_npz_path": "prot_vectors"}
+NESTED = {
+    "mas_config": {"embedding_dim", "mask_ratio", "seed", "weight", *VECTOR_NAMES, *VECTOR_NAMES.values()},
+    "irm_cf_config": {"n_envs", "pos_threshold", "n_cf_pairs", "irm_weight", "cf_weight", "seed", "weight"},
+}
 
 
 def check_section(name: str, section) -> list[str]:
     if section is None:
         return []
     if not isinstance(section, dict):
-        return [f"{name} config must be a mapping"]
+        return [f"section {name} is not a mapping"]
     errors = [f"{name}.{key} is required" for key in REQUIRED.get(name, []) if not section.get(key)]
     for key, (accepted, wanted) in RULES[name].items():
         if key in section and f"{name}.{key} is required" not in errors and not accepted(section[key]):
             errors.append(f"{name}.{key} must be {wanted}")
+    errors += [f"{name}.{key} is not a setting of this section" for key in section if key not in RULES[name] and key not in UNRULED.get(name, ())]
+    for nested, known in NESTED.items() if name == "causal" else ():
+        inner = section.get(nested)
+        if isinstance(inner, dict):
+            errors += [f"{name}.{nested}.{key} is not a setting of this section" for key in inner if key not in known]
     return errors
 
 
+def vector_settings(section: dict) -> dict:
+    """The section with stored vectors under their own names."""
+    renamed = {VECTOR_NAMES.get(k, k): v for k, v in section.items() if v is not None or k not in VECTOR_NAMES}
+    return renamed | {k: v for k, v in section.items() if k not in VECTOR_NAMES and v is not None}
+
+
 def validate(config, binary: bool = False) -> list[str]:
     """Messages about everything that is wrong; an empty list means the configuration can run."""
     if not isinstance(config, dict):
-        return ["the configuration must be a mapping"]
+        return ["the configuration is not a mapping"]
     errors = [f"missing required key: {key}" for key in ("name", "protocol") if not config.get(key)]
     output = config.get("output")
     if not isinstance(output, dict) or not output.get("base_dir"):

@@ -9,8 +9,9 @@ from dyadic.operators import robustness
 from dyadic.operators.pairs import PairData
 from dyadic.predictors.dual_view import lookup_embeddings
 from dyadic.predictors.factory import create_predictor
+from dyadic.runs.config import vector_settings
 from dyadic.session import cut_lineage
-from dyadic.sources.tables import read_embeddings
+from dyadic.sources.tables import stored_vectors
 
 SEQUENCE_MODEL, GRAPH_MODEL = {"name": "dual_frozen_backbone"}, {"name": "mixhop_propagation"}
 VECTOR_WIDTH = 768
@@ -26,10 +27,11 @@ def _views(data: PairData, shaken: PairData, config: dict) -> list[DataFrame]:
 
 
 def _vectors(data: PairData, config: dict) -> tuple[DataFrame, DataFrame]:
+    config = vector_settings(config)
     width = int(config.get("embedding_dim", VECTOR_WIDTH))
     found = []
     for entities, key in ((data.left, "drug_vectors"), (data.right, "prot_vectors")):
-        table = read_embeddings(entities.sparkSession, config[key]) if config.get(key) else None
+        table = stored_vectors(entities.sparkSession, config.get(key))
         found.append(cut_lineage(lookup_embeddings(entities, table, width).select("vec")))
     return found[0], found[1]
 

@@ -17,10 +17,10 @@ from dyadic.predictors.base import Prediction
 from dyadic.predictors.factory import create_predictor
 from dyadic.predictors.retrieval import top_unmeasured
 from dyadic.runs import artifacts
-from dyadic.runs.config import model_name, validate
+from dyadic.runs.config import model_name, validate, vector_settings
 from dyadic.runs.diagnostics import diagnose
 from dyadic.session import cut_lineage
-from dyadic.sources.tables import load_pairs, read_cells, read_embeddings
+from dyadic.sources.tables import load_pairs, read_cells, stored_vectors
 
 # Exit codes.
 OK, NO_CONFIG, BAD_CONFIG, STRICT_PLACEHOLDER = 0, 1, 2, 3
@@ -63,10 +63,9 @@ def _dense(data: PairData) -> PairData:
 
 
 def _model(spark: SparkSession, config: dict) -> dict:
-    model = dict(config.get("model") or {})
+    model = vector_settings(config.get("model") or {})
     for key in ("left_vectors", "right_vectors"):
-        if isinstance(model.get(key), str):
-            model[key] = read_embeddings(spark, model[key])
+        model[key] = stored_vectors(spark, model.get(key))
     return model
 
 

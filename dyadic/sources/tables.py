@@ -7,8 +7,11 @@ A source that is missing or malformed yields the small placeholder set, flagged
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from io import BytesIO
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +36,7 @@ PLACEHOLDER_BINARY = [[1.0, 0.0], [0.0, 1.0]]
 PLACEHOLDER_CONTINUOUS = [[0.8, 0.2], [0.3, 0.9]]
 
 SEQ = ["_file", "_block", "_line"]
+NPZ_ROWS = 1024  # vectors of an archive in one batch
 
 
 class SourceError(Exception):
@@ -282,7 +286,39 @@ def indexed_entities(entities: DataFrame) -> DataFrame:
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Keyed vectors (key, embedding): a Parquet table, or numpy archives with the arrays ``keys`` and ``embeddings``.
+
+    An archive is unpacked by the task that reads it. Vectors are found by key, so one without keys is an error.
+    """
+    if not path.endswith(".npz"):
+        return spark.read.parquet(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                archive = np.load(BytesIO(content.as_py()), allow_pickle=False)
+                if not {"keys", "embeddings"} <= set(archive.files):
+                    raise SourceError(f"{path} needs the arrays keys and embeddings")
+                keys, vectors = archive["keys"].astype(str), archive["embeddings"].astype(np.float64)
+                if len(keys) != len(vectors):
+                    raise SourceError(f"{path} has {len(keys)} keys for {len(vectors)} vectors")
+                for at in range(0, len(keys), NPZ_ROWS):
+                    part = vectors[at: at + NPZ_ROWS]
+                    offsets = pa.array(np.arange(len(part) + 1, dtype=np.int32) * part.shape[1])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[at: at + NPZ_ROWS].tolist(), pa.string()), pa.ListArray.from_arrays(offsets, pa.array(part.ravel()))], ["key", "embedding"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "key string, embedding array<double>")
+
+
+def stored_vectors(spark: SparkSession, path: str | None) -> DataFrame | None:
+    """Vectors at a path; a path without files is reported and gives none, and the entities are hashed."""
+    if not path:
+        return None
+    if not path_exists(spark, path):
+        print(f"[WARN] no vectors at {path}; entities are hashed")
+        return None
+    return read_embeddings(spark, path)
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:

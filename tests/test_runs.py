@@ -91,11 +91,11 @@ def test_csv_wins_over_triplet(spark, tmp_path):
 def test_validation_messages():
     good = {"name": "x", "protocol": "P", "output": {"base_dir": "o"}}
     assert config.validate(good) == []
-    assert len(config.validate({})) == 3 and config.validate([]) == ["the configuration must be a mapping"]
+    assert len(config.validate({})) == 3 and config.validate([]) == ["the configuration is not a mapping"]
     bad = {**good, "model": {"name": "nope", "latent_dim": 0, "hop_weights": []}, "split": {"test_ratio": 1.0, "strategy": "x"},
            "dataset": {"name": "zzz"}, "perturbation": {"strength": 2}, "causal": {"mode": "x", "weight": -1}, "binary": {"threshold": 3}}
     assert len(config.validate(bad)) == 10 and len(config.validate(bad, binary=True)) == 11
-    assert config.validate({**good, "model": 3}) == ["model config must be a mapping"]
+    assert config.validate({**good, "model": 3}) == ["section model is not a mapping"]
 
 
 def test_exit_codes(spark, tmp_path):
