@@ -92,11 +92,13 @@ def hash_features(frame: DataFrame, key: str, text: str, width: int = 16) -> Dat
     hits = char_rows(frame, key, text).groupBy(key, (F.ascii("ch") % F.lit(width)).alias("bucket")).agg(
         F.count("*").cast("double").alias("n")
     )
-    # At most ``width`` entries per text.
-    packed = hits.groupBy(key).agg(F.collect_list(F.struct("bucket", "n")).alias("_hits"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"))
-    return packed.select(key, "_norm", F.inline("_hits").alias("bucket", "n")).select(
-        key, "bucket", (F.col("n") / F.col("_norm")).alias("w")
-    )
+    return unit_rows(hits, key, "n").withColumnRenamed("n", "w")
+
+
+def unit_rows(hits: DataFrame, key: str, weight: str) -> DataFrame:
+    """Rows (key, bucket, weight) scaled to length one for each key; a key has at most one row for each bucket."""
+    packed = hits.groupBy(key).agg(F.collect_list(F.struct("bucket", weight)).alias("_hits"), F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("_norm"))
+    return packed.select(key, "_norm", F.inline("_hits").alias("bucket", weight)).select(key, "bucket", (F.col(weight) / F.col("_norm")).alias(weight))
 
 
 def ngram_features(frame: DataFrame, key: str, text: str, n: int = 2, buckets: int = 512,
@@ -119,15 +121,13 @@ def ngram_features(frame: DataFrame, key: str, text: str, n: int = 2, buckets: i
         .groupBy(key, "_gram")
         .agg(F.count("*").alias("_n"))
     )
+    # Dealt by key, at most one row per text and distinct gram; what follows needs no further exchange.
     hits = (
-        per_gram.withColumn("bucket", (digest_number(F.md5("_gram"), 1, 8) % F.lit(buckets)).cast("int"))
+        per_gram.repartition(key).withColumn("bucket", (digest_number(F.md5("_gram"), 1, 8) % F.lit(buckets)).cast("int"))
         .groupBy(key, "bucket")
         .agg(F.sum("_n").cast("double").alias("w"))
     )
-    if not normalize:
-        return hits
-    norms = hits.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return hits.join(norms, key).select(key, "bucket", (F.col("w") / F.col("_norm")).alias("w"))
+    return unit_rows(hits, key, "w") if normalize else hits
 
 
 def char_vocabulary(frame: DataFrame, text: str) -> DataFrame:

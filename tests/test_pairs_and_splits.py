@@ -117,3 +117,12 @@ def test_text_features(spark):
     ids = {r.k: r.i for r in data.select("k", encode_chars("t", table, 4).alias("i")).collect()}
     assert ids == {1: [1, 1, 2, 0], 2: [0, 0, 0, 0], 3: [3, 4, 0, 0]}
     assert spark.sql("select '\n mubz ' t").select(normalize_sequence("t").alias("n")).first().n == "MXXX"
+
+
+def test_ngram_plan_has_two_exchanges(spark):
+    """By gram with partial sums, then by key; buckets, norms and weights need no more."""
+    data = spark.range(50).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("t")).repartition(3)
+    plan = ngram_features(data, "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+    lengths = ngram_features(data, "id", "t").groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("n")).collect()
+    assert len(lengths) == 50 and all(abs(r.n - 1) < 1e-12 for r in lengths)
