@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dyadic import reports
 from dyadic.plans.inputs import IDENTITY, RUNS, num, r9, run_records, table
 from dyadic.plans.registry import query
+from dyadic.reports import chain
 
 _LATEST = f"""{RUNS}, {IDENTITY}, latest as (select * exclude (rn) from (select *, row_number() over
  (partition by run_name order by summary_path desc) rn from named) where rn = 1)"""
@@ -64,6 +65,18 @@ def report_best_per_split(spark, folder):
     return reports.best_per_split(means.withColumn("rmse_mean", r9("rmse_mean")), "rmse_mean")
 
 
+_SHOWN = "coalesce(round(round({0}, 9)::decimal(18, 9), 4)::decimal(18, 4)::varchar, '-')"
+
+
+@query("report_markdown", f"""with {_LATEST}, g as (select dataset, split, ablation, count(*) n, avg({num('ci')}) ci, avg({num('rmse')}) rmse from latest group by 1, 2, 3)
+ select dataset, split, ablation, '| ' || concat_ws(' | ', dataset, split, ablation, n, {_SHOWN.format('ci')}, {_SHOWN.format('rmse')}) || ' |' as line from g""")
+def report_markdown(spark, folder):
+    """Rows of the aggregated report as Markdown."""
+    means = reports.mean_by_group(_latest(spark, folder), _KEYS, ["ci", "rmse"])
+    means = means.withColumns({c: r9(c) for c in ("ci_mean", "rmse_mean")})
+    return chain.markdown_rows(means, [*_KEYS, "n_runs", "ci_mean", "rmse_mean"]).select(*_KEYS, "line")
+
+
 @query("report_gate_rules", f"""with {_LATEST}, g as (select dataset, ablation branch, avg({num('rmse')}) m from latest
  where ablation in ('FULL', 'NO_CF') group by 1, 2), p as (select dataset, max(case when branch = 'FULL' then m end) c,
  max(case when branch = 'NO_CF' then m end) b from g group by 1)

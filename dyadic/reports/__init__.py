@@ -137,7 +137,7 @@ def wide_union(binary: DataFrame, regression: DataFrame) -> DataFrame:
 
 def show_metric(column: str) -> Column:
     """Four decimals, a dash for NULL."""
-    return F.coalesce(F.format_string("%.4f", F.col(column)), F.lit("-"))
+    return F.when(F.col(column).isNull(), F.lit("-")).otherwise(F.format_string("%.4f", F.col(column)))
 
 
 def experiment_matrix(datasets: DataFrame, splits: list[str], seeds: list[int],
