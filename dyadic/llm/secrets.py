@@ -17,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dyadic.functions.vectors import let
 from dyadic.session import cut_lineage
 
 MARK, OTHER = "\ue000", "\ue001"
 SCOPE = 200
+CHUNK = 256  # parts of a text between whose sums places are found; even, so that a chunk starts outside a match
 
 # Patterns of the strong kinds. The value of an assignment is dropped afterwards if it is short; a run of
 # one class has its least length in the pattern, which finds the same runs.
@@ -36,11 +38,13 @@ SECRETS, IDENTIFIERS = ["assign", "hex", "weak"], ["access", "identifier"]
 
 
 def spans_of(text: Column, kind: str, pattern: str, least: int = 0) -> Column:
-    """Array of (start, rank, end) of the leftmost matches that do not overlap; ``least`` bounds group 2."""
-    parts = F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK)
+    """Array of (start, rank, end) of the leftmost matches that do not overlap; ``least`` bounds group 2.
+
+    Places are sums of lengths, found for ``CHUNK`` parts at a time behind the sums of the chunks before them: an array
+    that grew by one entry for each match of the whole text would be copied as often as there are matches.
+    """
     rank = F.lit(KINDS.index(kind))
-    span = "array<struct<start:int,rank:int,end:int>>"
-    none = F.array().cast(span)
+    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
 
     def step(state, part):
         end = state["at"] + F.length(part)
@@ -48,8 +52,17 @@ def spans_of(text: Column, kind: str, pattern: str, least: int = 0) -> Column:
         found = F.array(F.struct(state["at"].alias("start"), rank.alias("rank"), end.alias("end")))
         return F.struct(end.alias("at"), (~state["odd"]).alias("odd"), F.when(fits, F.concat(state["out"], found)).otherwise(state["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), none.alias("out"))
-    return F.when(F.size(parts) > 1, F.aggregate(parts, start, step, lambda s: s["out"])).otherwise(none)
+    def spans(parts: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int"))
+        chunk = lambda c: F.slice(parts, c * CHUNK + 1, F.lit(CHUNK))
+        sizes = F.transform(chunks, lambda c: F.aggregate(chunk(c), F.lit(0), lambda n, x: n + F.length(x)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(sizes, zero, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        first = lambda at: F.struct(at.alias("at"), F.lit(False).alias("odd"), none.alias("out"))
+        return let(starts, lambda at: F.flatten(F.transform(chunks, lambda c: F.aggregate(chunk(c), first(F.get(at, c)), step, lambda s: s["out"]))))
+
+    parts = F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK)
+    return let(parts, lambda p: F.when(F.size(p) > 1, spans(p)).otherwise(none))
 
 
 def of_kinds(spans: str, kinds: list[str]) -> Column:

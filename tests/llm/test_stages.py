@@ -1,0 +1,49 @@
+"""Long texts with many secrets, and pipeline stages on odd tables."""
+
+import os
+import time
+
+import pytest
+from plain import strong_spans
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from dyadic.llm import secrets
+
+FOLDER = "/root/testdata/sf0.001"
+ODD = ("doc_id long, text string, lang string, source string, n_chars long, tokens string, weight string, `pass` string, place string, "
+       "row string, found string, n long, class string")
+
+
+def test_many_secrets_in_one_text(spark):
+    """The work grows with the number of matches, not with its square; places are exact on both sides of a chunk."""
+    texts = {n: " ".join(f"token: abc{i}def é {'a1' * 12}" for i in range(n)) for n in (127, 128, 129, 400)}
+    found = secrets.scan_secrets(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), ["doc_id"])
+    for r in found.select("row.doc_id", secrets.named(F.col("base")).alias("base")).collect():
+        assert r.base == strong_spans(texts[r.doc_id])
+    took = []
+    for n in (8_000, 32_000):
+        text = "token: abcdefgh " * n
+        start = time.perf_counter()
+        row = secrets.scan_secrets(spark.createDataFrame([(1, text), (1, text)], "doc_id int, text string"), ["doc_id"]).select(F.size("base").alias("n")).collect()
+        took.append(time.perf_counter() - start)
+        assert [r.n for r in row] == [n, n]
+    assert took[1] < 20 and took[1] < 8 * took[0] + 2
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tables are not here")
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, empty texts, repeated rows and columns named like results; then no rows at all."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    extra = {c: F.lit("own") for c in ("tokens", "weight", "pass", "place", "row", "found", "class")} | {"n": F.lit(7).cast("long")}
+    odd = [(None, None, None, None, None, *["x"] * 6, 1, "x"), (-1, "", "en", "s", 0, *[None] * 8), (-2, " \n ", None, "s", 3, *["x"] * 6, 1, "x")]
+    table = docs.withColumns(extra).select(*[f.strip().split()[0].strip("`") for f in ODD.split(",")]).unionByName(spark.createDataFrame(odd, ODD))
+    table = table.unionByName(table.where("doc_id < 5"))
+    for rows in (table, table.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            rows = corpus_pipeline.cut_lineage(stage(spark, rows, FOLDER))
+            assert len(set(rows.columns)) == len(rows.columns)
+            if name != "mixing":
+                assert rows.columns == table.columns, name
+        assert set(corpus_pipeline.MIXED) <= set(rows.columns) and {"doc_id", "class"} <= set(rows.columns)
+        assert rows.where("weight = 'own'").count() == 0
