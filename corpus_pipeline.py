@@ -1,5 +1,7 @@
 """A training-data pipeline over ``documents``: five stages, each one operator of ``dyadic.llm``.
 
+Nulls, empty texts, repeated rows, empty tables and further columns are treated as the operators' docstrings say.
+
 Every stage takes (spark, docs, sf_dir), works on all that the stage before kept and returns the columns of documents
 (the last adds the mixing columns). ``run`` writes each result as Parquet in the shared folder and reads it again.
 """
@@ -18,6 +20,7 @@ from dyadic.plans.inputs import table
 from dyadic.session import cut_lineage
 
 QUALITY = 0.7
+MIXED = ["tokens", "weight", "pass", "place"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +48,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passes over the sources that realise the tempered weights; every document is in one pass at least."""
-    return mix_sources(docs).select("row.*", "tokens", "weight", "pass", "place")
+    """Passes over the sources that realise the tempered weights; every document is in one pass at least.
+
+    Columns of the documents that are named like one of ``MIXED`` give way to the result.
+    """
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in MIXED]
+    return mix_sources(docs).select(*own, *MIXED)
 
 
 STAGES = [
