@@ -25,7 +25,7 @@ def test_names():
     assert "pipeline" in entry.queries() and {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
 
 
-@pytest.mark.parametrize("name", ["op1_revisits", "op4_line_dedup", "op5_decontamination"])
+@pytest.mark.parametrize("name", ["op1_revisits", "op3_ngram_join", "op4_line_dedup", "op5_decontamination", "op6_substring_dedup", "op9_secrets", "op11_divergence", "op12_search"])
 def test_query_equals_its_sql(spark, tables, name):
     wanted = tables.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in wanted.description]
