@@ -333,7 +333,7 @@ def _scorer(data):
 
 @query("env_risk_variance", f"with {_SCORED}, {_ENVS} select round(l_irm, 12) l_irm, n_envs_used, cast(n_pairs as bigint) n_pairs from irm")
 def env_risk_variance(spark, folder):
-    scored, _ = _scored(spark, folder)
+    scored, _, _ = _scored(spark, folder)
     return robustness.risk_variance(scored).withColumn("l_irm", r9("l_irm", 12))
 
 
