@@ -23,6 +23,7 @@ def test_flagship(spark):
 @pytest.mark.parametrize("name", [
     "pairs_load_aliased", "marginal_means", "split_random", "split_cold_b", "env_assign", "metric_concordance", "evaluate_binary",
     "grid_densify_null", "ngram_hash_features", "char_hash_features", "topk_neighbors", "predict_simple", "predict_mf",
+    "predict_char_encoder", "predict_dual_view_stored", "score_top", "score_top_mf", "env_risk_variance", "counterfactual_swap", "report_markdown",
     "mixhop_predict", "predict_cross_attention", "irm_cf_score", "report_aggregate", "char_encode", "masked_reconstruction", "unified_score",
 ])
 def test_query_equals_its_sql(spark, name):
