@@ -1,17 +1,21 @@
 """Licence scan with a generalised suffix automaton of licence tokens.
 
-Files stream through the automaton; matching statistics give, at each token, the longest suffix found in some
-template. Maximal matches of ``min_match`` words or more are chained per template when they follow each other in
-file and template with small gaps; a chain that covers enough of its template is a span. Short key phrases are
-sequences of the same automaton and count wherever their words stand consecutively. No shuffle.
+Files stream through the automaton; matching statistics give, at each token and for each template, the longest suffix
+that the template holds. Maximal matches of ``min_match`` words or more are chained per template when they follow each
+other in file and template with small gaps. A chain is a candidate if it covers enough of its template and holds the
+words that tell the template from its relatives (``ShareAlike``, ``Lesser``, a version). Of candidates that overlap,
+the one that covers most words is the span of the region. Short key phrases are sequences of the same automaton and
+count wherever their words stand consecutively. No shuffle.
 
 Words are maximal runs of ASCII letters, digits and non-ASCII characters, ASCII letters in lower case; texts are
 read whole. Nulls and empty texts have no words, places or spans. Repeated rows are each judged alike. Templates
-or phrases without words are ignored.
+or phrases without words are ignored; a template whose needed words are not its own is never found. Candidates equal
+in covered words and coverage go by smaller start, then label. Kept columns may have any names; they lie in ``row``.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import repeat
 
 import numpy as np
@@ -30,23 +34,88 @@ PHRASES = [
     ("cc-by-nc", "cc by nc"),
 ]
 
-# The customary notices of common licences.
-TEMPLATES = [
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-            "documentation files, to deal in the Software without restriction"),
+# Names in the customary notices of two families of licences.
+GNU = [("gpl", "General", ["2", "3"]), ("lgpl", "Lesser General", ["2.1", "3"]), ("agpl", "Affero General", ["3"])]
+CREATIVE_COMMONS = [
+    ("cc-by", "Attribution"),
+    ("cc-by-sa", "Attribution-ShareAlike"),
+    ("cc-by-nd", "Attribution-NoDerivatives"),
+    ("cc-by-nc", "Attribution-NonCommercial"),
+    ("cc-by-nc-sa", "Attribution-NonCommercial-ShareAlike"),
+    ("cc-by-nc-nd", "Attribution-NonCommercial-NoDerivatives"),
+]
+
+# The customary notices of other licences, and the words that a span must hold.
+MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the Software), to deal in the Software without restriction")
+MIT_RIGHTS = (
+    ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+    "copies of the Software, and to permit persons to whom the Software is furnished to do so")
+MIT_TERMS = (
+    ", subject to the following conditions: The above copyright notice and this permission notice shall be included in "
+    "all copies or substantial portions of the Software.")
+BSD_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met")
+BSD_TERMS = (
+    ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+    "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.")
+BSD_NAMES = (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission.")
+ISC_GRANT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted")
+OTHERS = [
+    ("mit", MIT_GRANT, ""),
+    ("mit-0", MIT_GRANT + MIT_RIGHTS, "furnished"),
+    ("mit", MIT_GRANT + MIT_RIGHTS + MIT_TERMS, "notice"),
+    ("mit", "released under the MIT License", "mit"),
+    ("mit", "licensed under the MIT License", "mit"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0", "apache 2"),
     ("apache-2", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the "
-                 "License. You may obtain a copy of the License at"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-            "the following conditions are met"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-            "Public License as published by the Free Software Foundation"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
+                 "License. You may obtain a copy of the License at", "apache 2"),
+    ("bsd", BSD_GRANT, ""),
+    ("bsd-2", BSD_GRANT + BSD_TERMS, "reproduce"),
+    ("bsd-3", BSD_GRANT + BSD_TERMS + BSD_NAMES, "reproduce neither"),
+    ("isc", ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies", "provided"),
+    ("0bsd", ISC_GRANT, "fee"),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2"),
+    ("epl-1", "made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution", "eclipse v1"),
+    ("epl-2", "made available under the terms of the Eclipse Public License 2.0 which is available at", "eclipse 2"),
+    ("bsl-1", "Distributed under the Boost Software License, Version 1.0.", "boost"),
+    ("cddl-1", "The contents of this file are subject to the terms of the Common Development and Distribution License", "development"),
+    ("cc0-1", "licensed under CC0 1.0 Universal", "cc0"),
+    ("cc0-1", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held "
+             "liable for any damages arising from the use of this software.", "authors"),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
 ]
 
+
+def notices() -> list[tuple[str, str, str]]:
+    """(label, text, needed words) of the customary notices, those of families from their names."""
+    out = list(OTHERS)
+    for label, name, versions in GNU:
+        licensed = f"licensed under the GNU {name} Public License"
+        free = (f"free software: you can redistribute it and/or modify it under the terms of the GNU {name} Public License "
+                "as published by the Free Software Foundation")
+        out += [(label, licensed, name), (label, free, name)]
+        for v in versions:
+            out.append((f"{label}-{v}", f"{licensed} version {v}", f"{name} version {v}"))
+            out.append((f"{label}-{v}", f"{free}, either version {v} of the License", f"{name} version {v}"))
+    for label, name in CREATIVE_COMMONS:
+        parted = name.replace("NonC", "Non-C").replace("ShareA", "Share-A").replace("NoD", "No-D")
+        for title in dict.fromkeys((name, parted)):
+            out.append((label, f"licensed under a Creative Commons {title} 4.0 International License", title))
+        short = label.upper().replace("CC-", "CC ")
+        out.append((label, f"licensed under {short} 4.0", short))
+    return out
+
+
+TEMPLATES = notices()
+
 MIN_MATCH, MAX_GAP, MIN_COVERAGE = 4, 8, 0.6
 SEPARATOR = b"\xff"
 
@@ -63,13 +132,17 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label
 
 
 class LicenceIndex:
+    """Phrases (label, text) and templates (label, text) or (label, text, needed words) in one automaton."""
+
     def __init__(self, phrases, templates, min_match: int, max_gap: int, min_coverage: float):
-        split = lambda rows: [(x, w) for x, t in rows if (w := t.encode().translate(ALNUM_LOWER).split())]
-        phrases, templates = split(phrases), split(templates)
+        words = lambda t: t.encode().translate(ALNUM_LOWER).split()
+        phrases = [(label, w) for label, text in phrases if (w := words(text))]
+        templates = [(label, w, words(needed[0]) if needed else []) for label, text, *needed in templates if (w := words(text))]
         self.min_match, self.max_gap, self.min_coverage = min_match, max_gap, min_coverage
-        self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, ws in phrases + templates for w in ws), 1)}
+        sequences = [ws for _, ws in phrases] + [ws for _, ws, _ in templates]
+        self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in sequences for w in ws), 1)}
         self.vocabulary[SEPARATOR] = 0
-        ids = [[self.vocabulary[w] for w in ws] for _, ws in phrases + templates]
+        ids = [[self.vocabulary[w] for w in ws] for ws in sequences]
         self.automaton = a = SuffixAutomaton(ids)
         self.shortest = min([min_match, *(len(ws) for _, ws in phrases)])
         order = sorted(range(1, len(a.length)), key=a.length.__getitem__)
@@ -80,19 +153,28 @@ class LicenceIndex:
         self.ends, self.nearest = ends, [-1] * len(a.length)
         for v in order:
             self.nearest[v] = v if v in ends else self.nearest[a.link[v]]
-        #: of each state, where its substrings end in each template that has them
-        self.where: list[dict[int, int]] = [{} for _ in a.length]
-        self.labels = [label for label, _ in templates]
-        self.sizes = [len(ws) for _, ws in templates]
+        self.labels = [label for label, _, _ in templates]
+        self.sizes = [len(ws) for _, ws, _ in templates]
+        #: of each template, the places of each word that its spans must hold
+        self.needed = [[[i for i, w in enumerate(ws) if w == x] for x in needed] for _, ws, needed in templates]
+        where: list[dict[int, list[int]]] = [{} for _ in a.length]
         for k, tokens in enumerate(ids[len(phrases):]):
             for end, (state, _) in enumerate(a.stream(tokens), 1):
-                while state > 0 and k not in self.where[state]:
-                    self.where[state][k] = end
+                while a.length[state] >= min_match:
+                    where[state].setdefault(k, []).append(end)
                     state = a.link[state]
+        #: of each state, each template with a long enough suffix of it: the suffix's length (0: the whole match) and its ends
+        self.held: list[list[tuple[int, int, list[int]]]] = [[] for _ in a.length]
+        for v in order:
+            if a.length[v] >= min_match:
+                up = a.link[v]
+                self.held[v] = [(k, 0, at) for k, at in where[v].items()] + [
+                    (k, n or a.length[up], at) for k, n, at in self.held[up] if k not in where[v]]
 
     def scan(self, tokens: list[int], base: int, places: list, matches: list) -> None:
-        """Add phrase places and maximal matches of a run of known tokens that starts at word ``base``."""
-        before = (0, 0)
+        """Add phrase places and each template's maximal matches (start, end, template, its ends there) of a run of
+        known tokens that starts at word ``base``."""
+        live: dict[int, tuple[int, list[int]]] = {}
         for i, (state, n) in enumerate(self.automaton.stream([*tokens, -1]), 1):
             u = self.nearest[state]
             while u >= 0:
@@ -100,34 +182,43 @@ class LicenceIndex:
                 if size <= n:
                     places.extend((base + i - size, label) for label in labels)
                 u = self.nearest[self.automaton.link[u]]
-            if n <= before[1] and before[1] >= self.min_match:
-                matches.append((base + i - 1 - before[1], base + i - 1, before[0]))
-            before = (state, n)
+            now = {k: (size or n, at) for k, size, at in self.held[state]} if n >= self.min_match else {}
+            for k, (size, at) in live.items():
+                if k not in now or now[k][0] <= size:
+                    matches.append((base + i - 1 - size, base + i - 1, k, at))
+            live = {k: x for k, x in now.items() if x[0] >= self.min_match}
 
-    def chained(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-        """Spans of templates from maximal matches in file order, in one pass per template."""
-        open_chains: dict[int, list[int]] = {}  # template: start, end in the file, end in the template, words covered
-        done: list[tuple[int, int, str, float]] = []
+    def chained(self, matches: list[tuple[int, int, int, list[int]]]) -> list[tuple[int, int, str, float]]:
+        """Spans of templates from maximal matches in order of their ends, in one pass; overlapping ones settled."""
+        open_chains: dict[int, tuple[int, int, int, list[tuple[int, int]]]] = {}  # start, end, words covered, pieces of the template
+        found: list[tuple[int, float, int, int, str]] = []
 
         def close(k: int) -> None:
-            start, end, _, covered = open_chains.pop(k)
-            if covered >= self.min_coverage * self.sizes[k]:
-                done.append((start, end, self.labels[k], min(1.0, covered / self.sizes[k])))
-
-        for start, end, state in matches:
-            for k, at in self.where[state].items():
-                size = end - start
-                if k in open_chains:
-                    chain = open_chains[k]
-                    overlap = max(0, chain[1] - start, chain[2] - (at - size))
-                    if start - chain[1] <= self.max_gap and at - size - chain[2] <= self.max_gap and overlap < size:
-                        open_chains[k] = [chain[0], end, at, chain[3] + size - overlap]
-                        continue
-                    close(k)
-                open_chains[k] = [start, end, at, size]
+            start, end, covered, pieces = open_chains.pop(k)
+            holds = all(any(a <= i < b for i in places for a, b in pieces) for places in self.needed[k])
+            if covered >= self.min_coverage * self.sizes[k] and holds:
+                found.append((-covered, -covered / self.sizes[k], start, end, self.labels[k]))
+
+        for start, end, k, ends in matches:
+            size = end - start
+            if k in open_chains:
+                first, last, covered, pieces = open_chains[k]
+                begin, upto = pieces[-1]  # a match that begins no later in the template starts it anew
+                overlap = lambda at: max(0, last - start, upto - (at - size))  # noqa: B023, E731
+                near = [at for at in ends if at > upto and begin < at - size <= upto + self.max_gap and overlap(at) < size]
+                if near and start - last <= self.max_gap:
+                    open_chains[k] = (first, end, covered + size - overlap(near[0]), [*pieces, (near[0] - size, near[0])])
+                    continue
+                close(k)
+            open_chains[k] = (start, end, size, [(ends[0] - size, ends[0])])
         for k in list(open_chains):
             close(k)
-        return sorted(done)
+        chosen: list[tuple[int, int, str, float]] = []
+        for _, coverage, start, end, label in sorted(found):
+            i = bisect_left(chosen, (start,))
+            if (i == 0 or chosen[i - 1][1] <= start) and (i == len(chosen) or chosen[i][0] >= end):
+                chosen.insert(i, (start, end, label, -coverage))
+        return chosen
 
 
 def scan_texts(texts: list[bytes | None], index: LicenceIndex) -> list[pa.Array]:
@@ -160,7 +251,8 @@ def scan_licences(
 ) -> DataFrame:
     """Columns ``row`` (the kept ones) and ``found``: n_words, phrase places, template spans with their coverage.
 
-    Phrases and templates are lists of (label, text) of the caller, a few thousand words at most.
+    Phrases are (label, text); templates also name the words that a span must hold. Both are the caller's lists of a few
+    thousand words at most.
     """
     shared = docs.sparkSession.sparkContext.broadcast(LicenceIndex(phrases, templates, min_match, max_gap, min_coverage))
     return map_texts(docs, keep, FOUND, lambda texts: scan_texts(texts, shared.value), text)

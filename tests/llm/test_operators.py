@@ -162,6 +162,59 @@ def test_licences(spark, corpus):
     assert licences.scan_licences(docs.limit(0), ["doc_id"]).count() == 0
 
 
+LABELS = [
+    ("This work is licensed under the GNU General Public License, version 3.", ["gpl-3"]),
+    ("under the terms; licensed under the GNU Lesser General Public License", ["lgpl"]),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+     "published by the Free Software Foundation; either version 2.1 of the License, or later", ["lgpl-2.1"]),
+    ("free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+     "Free Software Foundation, either version 3 of the License", ["agpl-3"]),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["cc-by-sa"]),
+    ("Licensed under a Creative Commons Attribution 4.0 International License.", ["cc-by"]),
+    ("Licensed under a Creative Commons Attribution-Non-Commercial-No-Derivatives 3.0 Unported", ["cc-by-nc-nd"]),
+    ("Licensed under CC BY-NC-SA 4.0 and then licensed under CC BY-ND 4.0", ["cc-by-nc-sa", "cc-by-nd"]),
+    (licences.BSD_GRANT + licences.BSD_TERMS, ["bsd-2"]),
+    (licences.BSD_GRANT + licences.BSD_TERMS + licences.BSD_NAMES, ["bsd-3"]),
+    (licences.MIT_GRANT + licences.MIT_RIGHTS, ["mit-0"]),
+    (licences.MIT_GRANT + licences.MIT_RIGHTS + licences.MIT_TERMS, ["mit"]),
+    (licences.ISC_GRANT, ["0bsd"]),
+    ("Distributed under the Boost Software License, Version 1.0.", ["bsl-1"]),
+    ("made available under the terms of the Eclipse Public License 2.0 which is available at", ["epl-2"]),
+    ("the public is licensed to use the work and the software without restriction", []),
+]
+
+
+def test_licences_of_one_family_are_told_apart(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(LABELS)] * 2, "doc_id long, text string, found string")
+    for r in licences.scan_licences(docs, ["doc_id", "found"]).collect():
+        assert [s.label for s in r.found.spans] == LABELS[r.row.doc_id][1], LABELS[r.row.doc_id][0]
+
+
+def test_licence_matches_equal_plain_ones():
+    """Every maximal match of each template, against a comparison of all places."""
+    rng = random.Random(4)
+    for _ in range(40):
+        words = lambda n: [rng.choice("abc") for _ in range(n)]
+        templates, text = [words(rng.randrange(4, 14)) for _ in range(4)], words(60)
+        index = licences.LicenceIndex([], [(str(k), " ".join(t)) for k, t in enumerate(templates)], 3, 2, 0.6)
+        found, wanted = [], set()
+        index.scan([index.vocabulary.get(w.encode(), -1) for w in text], 0, [], found)
+        for k, t in enumerate(templates):
+            longest = [max(n for n in range(min(i, len(t)) + 1) if any(text[i - n:i] == t[p:p + n] for p in range(len(t) - n + 1))) for i in range(len(text) + 1)] + [0]
+            for i in range(1, len(text) + 1):
+                if longest[i] >= 3 and longest[i + 1] <= longest[i]:
+                    n = longest[i]
+                    wanted.add((i - n, i, k, tuple(p + n for p in range(len(t) - n + 1) if t[p:p + n] == text[i - n:i])))
+        assert {(a, b, k, tuple(sorted(at))) for a, b, k, at in found} == wanted and len(found) == len(wanted)
+
+
+def test_a_repeated_phrase_chains_at_its_later_place():
+    text = "one two three four five one two three four six seven eight nine"
+    index = licences.LicenceIndex([], [("x", text)], 4, 2, 1.0)
+    assert licences.scan_texts([text.replace("six", "odd six").encode(), None, b"", (text + " ").encode() * 5000], index)[2].to_pylist()[:3] == [
+        [{"start": 0, "end": 14, "label": "x", "coverage": 1.0}], [], []]
+
+
 def test_decontamination(spark):
     item = " ".join(f"w{k}" for k in range(20))
     docs = spark.createDataFrame(
