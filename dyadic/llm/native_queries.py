@@ -34,7 +34,7 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mix_sources(docs).select(
-        "row.doc_id", "row.source", F.col("tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), "pass", "place")
+        "row.doc_id", "row.source", F.col("tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), "pass", "place", "exponent", "held")
 
 
 def either_case(pattern: str) -> str:

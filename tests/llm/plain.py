@@ -7,6 +7,8 @@ import math
 import re
 from collections import Counter
 
+import xxhash
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACED = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -113,3 +115,47 @@ def ranked(docs, items, top=10):
                 found.append((-score, i))
         out += [(item, k, i, -s) for k, (s, i) in enumerate(sorted(found)[:top], 1)]
     return sorted(out, key=lambda r: (r[0] is None, r))
+
+
+def mixture(docs, entropy, max_repeat, blocks=64, seed=17):
+    """Exponent and sorted rows (id, pass, place) of documents (id, text, source), one after the other."""
+    digest = lambda *parts: hashlib.md5("|".join(parts).encode()).hexdigest()
+    number = lambda text: xxhash.xxh64(text.encode(), seed=42).intdigest()
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    held, total = {}, {}
+    for i, text, source in docs:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        order = digest(str(seed), f"={i}|{42 if text is None else signed(number(text))}")[:16]
+        held.setdefault(source, {}).setdefault(signed(number(order)) % blocks, []).append((order, n, i))
+        total[source] = total.get(source, 0) + n
+    share = {s: n / sum(total.values()) for s, n in total.items() if n}
+
+    def fits(a):
+        w = [x ** a for x in share.values()]
+        h = -sum(x / sum(w) * math.log(x / sum(w)) for x in w)
+        ratio = [x ** (a - 1) for x in share.values()]
+        return h <= entropy * math.log(len(w)) + 1e-12, max(ratio) / min(ratio) <= max_repeat * (1 + 1e-12)
+
+    grid = [k / 1000 for k in range(16001)]
+    good = [a for a in grid if all(fits(a))]
+    low, high = (good[0] - 0.001, good[0]) if good else (max(a for a in grid if fits(a)[1]), max(a for a in grid if fits(a)[1]) + 0.001)
+    for _ in range(40):
+        mid = (low + high) / 2
+        if all(fits(mid)) if good else not fits(mid)[1]:
+            high = mid
+        else:
+            low = mid
+    a = 0.0 if good and good[0] == 0 else round(high if good else low, 6)
+    least, out = max(x / x ** a for x in share.values()), []
+    for s in held:
+        target = math.floor(share.get(s, 0) ** a * least * sum(total.values()) + 0.5) if s in share else 0
+        for p in range(1, (math.ceil(target / total[s]) if total[s] else 1) + 1):
+            left, before = min(total[s], target - total[s] * (p - 1)), 0
+            for place, b in enumerate(sorted(held[s], key=lambda b: (digest(str(seed), f"={s}", str(p), str(b)), b)), 1):  # noqa: B023
+                spent = before
+                for _, n, i in sorted(held[s][b]):
+                    spent += n
+                    if spent <= left:
+                        out.append((i, p, place))
+                before += sum(n for _, n, _ in held[s][b])
+    return a, sorted(out)

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from plain import classes, phrase_places, strong_spans, without_repeats
+from plain import classes, mixture, phrase_places, strong_spans, without_repeats
 from pyspark.sql import functions as F
 
 from dyadic.llm import decontamination, licences, line_dedup, mixing, neighbours, ngram_join, quality, revisits, secrets, substring_dedup
@@ -135,6 +135,32 @@ def test_exponent_meets_the_entropy(spark):
     assert -(w * np.log(w)).sum() == pytest.approx(0.95 * np.log(5), abs=1e-4)
 
 
+def test_exponent_above_one_and_targets_out_of_reach(spark):
+    def found(shares, *targets):
+        rows = [(str(k), int(s * 1e6), s) for k, s in enumerate(shares)]
+        return mixing.temperature(spark.createDataFrame(rows, "source string, tokens long, share double"), *targets)
+
+    shares = np.array([0.3, 0.27, 0.23, 0.2])
+    a, held = found(shares.tolist(), 0.95, 4.0, None)
+    w = shares ** a / (shares ** a).sum()
+    assert a > 1 and held == "entropy" and -(w * np.log(w)).sum() == pytest.approx(0.95 * np.log(4), abs=1e-4)
+    a, held = found(shares.tolist(), 0.5, 2.0, None)  # the limit of repeats comes first
+    assert held == "unmet" and (0.3 / 0.2) ** (a - 1) == pytest.approx(2, abs=1e-4)
+    assert found([0.25] * 4, 0.95, 4.0, None)[1] == "unmet" and found([1.0], 0.95, 4.0, None) == (0.0, "none")
+    assert found([0.9, 0.1], 1.0, 2.0, None)[1] == "repetition" and found([0.5, 0.5], 0.95, 1.0, 2.0) == (1.0, "unmet")
+
+
+@pytest.mark.parametrize("entropy", [0.7, 0.98])
+def test_mixing_equals_a_plain_mixer(spark, entropy):
+    rng = random.Random(7)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 30)) if i % 50 else None, "abc"[min(rng.randrange(6), 2)]) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, entropy=entropy, max_repeat=4.0).select("row.doc_id", "pass", "place", "exponent").collect()
+    a, wanted = mixture(rows, entropy, 4.0)
+    assert got[0].exponent == pytest.approx(a, abs=2e-6)
+    assert sorted((r.doc_id, r["pass"], r.place) for r in got) == wanted
+
+
 def test_secrets(spark):
     key, run = "AKIA" + "Z9" * 8, "0123456789abcdef" * 2
     texts = [
