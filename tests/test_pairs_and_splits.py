@@ -126,3 +126,46 @@ def test_ngram_plan_has_two_exchanges(spark):
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
     lengths = ngram_features(data, "id", "t").groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("n")).collect()
     assert len(lengths) == 50 and all(abs(r.n - 1) < 1e-12 for r in lengths)
+
+
+def test_grams_never_become_rows(spark):
+    """Only the finished buckets of a key are rows; scans and exchanges see one row per text."""
+    data = spark.range(50).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("t"))
+    plan = ngram_features(data, "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.index("Generate explode") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize("n, stretch, dense", [(1, 5, 1 << 22), (2, 1 << 20, 1 << 22), (2, 3, 0), (3, 7, 50)])
+def test_ngrams_are_counted_whole(spark, monkeypatch, n, stretch, dense):
+    import hashlib
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from dyadic.functions import text
+
+    monkeypatch.setattr(text, "STRETCH", stretch)
+    monkeypatch.setattr(text, "DENSE", dense)
+    rows = [("a", "abcabcabcabc \x00é😀😀😀\n"), ("a", "bcab"), (None, "xy"), ("b", ""), ("c", None), ("d", "é"), ("a", "ab"), (None, "xyz"), ("e", "zz" * 40)]
+    wanted = {}
+    for key, value in rows:
+        if value is not None:
+            value = value.ljust(n, "_")
+            for at in range(len(value) - n + 1):
+                bucket = int(hashlib.md5(value[at : at + n].encode()).hexdigest()[:8], 16) % 512
+                wanted.setdefault(key, Counter())[bucket] += 1
+    data = spark.createDataFrame(rows, "k string, t string").repartition(3)
+    # The task's own functions first: the settings above are not seen by Python workers.
+    known = [(k, v.ljust(n, "_").encode()) for k, v in rows if v is not None]
+    keys, counts = text._count_grams(pa.array([k for k, _ in known], "string"), [v for _, v in known], n, 512)
+    assert dict(zip(keys.to_pylist(), map(dict, counts.to_pylist()), strict=True)) == wanted
+    found = {}
+    for r in ngram_features(data, "k", "t", n, normalize=False).collect():
+        assert r.bucket not in found.setdefault(r.k, {})
+        found[r.k][r.bucket] = r.w
+    assert found == wanted
+
+
+def test_ngrams_of_bytes_that_are_not_utf8(spark):
+    data = spark.sql("select 1 k, cast(X'61FF62' as string) t")
+    assert sum(r.w for r in ngram_features(data, "k", "t", normalize=False).collect()) == 2
