@@ -8,23 +8,25 @@ A pair of rows then falls into exactly one of three cases:
 * same prediction range: decided inside that range (or, for a range with a single value, a tie);
 * same truth range: decided inside that range (nothing to do for a single value).
 
-Each range is a problem of the same kind, about a hundred times smaller, and is cut again until it fits a task,
+Each range is a problem of the same kind, up to ``RANGES`` times smaller, and is cut again until it fits a task,
 where a merge-style count takes O(m log m). Rows are neither sampled nor capped, and no task or histogram grows with
-the data.
+the data. The first cut uses ranges that the driver knows; only its large ranges, if any, look theirs up.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadic.functions.vectors import let
+from dyadic.operators.ordering import measure_ranges
 from dyadic.session import cut_lineage
 
-LOCAL_ROWS = 200_000  # distinct (truth, prediction) combinations counted by one task
-RANGES = 256
+LOCAL_ROWS = 1_000_000  # distinct (truth, prediction) combinations counted by one task
+RANGES = 512  # a power of two
+PARTS = 4 * RANGES  # numbers for the parts of a part; five levels fit a bigint
 BROADCAST_PARTS = 4_096  # with two lists of RANGES - 1 bounds each: about 16 MB
 
 
@@ -57,21 +59,25 @@ def weighted_concordant(primary: np.ndarray, secondary: np.ndarray, weight: np.n
     return counted
 
 
-def _count_range(part: pd.DataFrame) -> pd.DataFrame:
-    found = weighted_concordant(part["u"].to_numpy(), part["v"].to_numpy(), part["c"].to_numpy())
-    return pd.DataFrame({"concordant": [found]})
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(name).to_numpy() for name in names]
 
 
-def _count_histogram(cells: pd.DataFrame) -> pd.DataFrame:
-    rows, row_at = np.unique(cells["gu"].to_numpy(), return_inverse=True)
-    cols, col_at = np.unique(cells["gv"].to_numpy(), return_inverse=True)
+def _count_range(part: pa.Table) -> pa.Table:
+    return pa.table({"concordant": [weighted_concordant(*_numbers(part, "u", "v", "c"))]})
+
+
+def _count_histogram(cells: pa.Table) -> pa.Table:
+    gu, gv, count = _numbers(cells, "gu", "gv", "c")
+    rows, row_at = np.unique(gu, return_inverse=True)
+    cols, col_at = np.unique(gv, return_inverse=True)
     table = np.zeros((len(rows), len(cols)))
-    table[row_at, col_at] = cells["c"].to_numpy()
+    table[row_at, col_at] = count
     earlier_rows = np.cumsum(table, axis=0) - table
     found = float(np.sum(table * (np.cumsum(earlier_rows, axis=1) - earlier_rows)))
     single = cols % 2 == 1
     found += 0.5 * float(np.sum((table * earlier_rows)[:, single]))
-    return pd.DataFrame({"concordant": [found]})
+    return pa.table({"concordant": [found]})
 
 
 def _place(value: str, bounds: str) -> Column:
@@ -86,55 +92,67 @@ def _place(value: str, bounds: str) -> Column:
     return let(at, lambda pos: pos * 2 + F.when(repeated(pos), 1).otherwise(0))
 
 
-def _split(problem: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Histogram cells and the smaller problems of all large parts."""
+def _place_inside(problem: DataFrame) -> DataFrame:
+    """Ranges of the rows among the quantiles of their own part."""
     probs = ", ".join(f"{i / RANGES}D" for i in range(1, RANGES))
-    inside = problem.join(large, "part", "left_semi")
-    bounds = inside.groupBy("part").agg(
+    bounds = problem.groupBy("part").agg(
         *[F.expr(f"percentile_approx({c}, array({probs}), {4 * RANGES})").alias(f"_b{c}") for c in ("u", "v")]
     )
     bounds = cut_lineage(bounds)
     # While parts are few they are large, and their bounds are small enough to send to every task.
     bounds = F.broadcast(bounds) if bounds.count() <= BROADCAST_PARTS else bounds
-    placed = cut_lineage(
-        inside.join(bounds, "part").select("part", "u", "v", "c", _place("u", "_bu").alias("gu"), _place("v", "_bv").alias("gv"))
-    )
-    cells = placed.groupBy("part", "gu", "gv").agg(F.sum("c").alias("c"))
-    same_truth = placed.where(F.col("gu") % 2 == 0).select(
-        F.concat_ws("/", "part", F.concat(F.lit("t"), "gu")).alias("part"), "u", "v", "c"
-    )
-    same_score = (
-        placed.where(F.col("gv") % 2 == 0)
-        .groupBy("part", "gv", "gu", "v").agg(F.sum("c").alias("c"))
-        .select(F.concat_ws("/", "part", F.concat(F.lit("s"), "gv")).alias("part"), F.col("gu").cast("double").alias("u"), "v", "c")
+    return problem.join(bounds, "part").select("part", "u", "v", "c", _place("u", "_bu").alias("gu"), _place("v", "_bv").alias("gv"))
+
+
+def _parts(placed: DataFrame, *columns: Column | str) -> DataFrame:
+    """Rows once for the part of their truth range and once for the part of their score range, single values left out.
+
+    Within a score range only the order of the truth ranges counts: equal ones are compared in their truth range.
+    """
+    same_truth = placed.where(F.col("gu") % 2 == 0).select((F.col("part") * PARTS + F.col("gu")).alias("part"), F.col("u"), *columns)
+    same_score = placed.where(F.col("gv") % 2 == 0).select(
+        (F.col("part") * PARTS + F.col("gv") + 2 * RANGES).alias("part"), F.col("gu").cast("double").alias("u"), *columns
     )
-    return cells, cut_lineage(same_truth.unionByName(same_score))
+    return same_truth.unionByName(same_score)
 
 
 def concordance(frame: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """One row with ``ci``: 0 for fewer than two rows, 0.5 when no pair is ordered by truth."""
     n = frame.count()
-    counts = frame.groupBy("y", "y_hat").agg(F.count("*").cast("double").alias("c"))
+    counts = frame.groupBy("y", "y_hat").agg(F.count("*").alias("c"))
     if n > local_rows:
         counts = cut_lineage(counts)
-    problem = counts.select(F.lit("").alias("part"), F.col("y").alias("u"), F.col("y_hat").alias("v"), "c")
+    return concordance_of_counts(counts, n, local_rows)
+
+
+def concordance_of_counts(counts: DataFrame, n: int, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """:func:`concordance` of ``n`` rows from their distinct ``(y, y_hat, c)``; a large table should be a stored one."""
     schema = "concordant double"
+    counts = counts.select(F.col("y").alias("u"), F.col("y_hat").alias("v"), F.col("c").cast("double").alias("c"))
+    problem = counts.select(F.lit(0).cast("bigint").alias("part"), "u", "v", "c")
     parts = problem.limit(0).select(F.lit(0.0).alias("concordant"))
-    rows = n
-    while rows > local_rows:
-        sizes = problem.groupBy("part").count().where(F.col("count") > local_rows).select("part")
-        large = cut_lineage(sizes)
-        n_large = large.count()
-        if not n_large:
-            break
-        large = F.broadcast(large) if n_large <= BROADCAST_PARTS else large
-        small = problem.join(large, "part", "left_anti")
-        cells, smaller = _split(problem, large)
-        parts = parts.unionByName(small.groupBy("part").applyInPandas(_count_range, schema))
-        parts = parts.unionByName(cells.groupBy("part").applyInPandas(_count_histogram, schema))
-        problem, rows = smaller, smaller.count()
-    parts = parts.unionByName(problem.groupBy("part").applyInPandas(_count_range, schema))
-    per_truth = counts.groupBy("y").agg(F.sum("c").alias("c"))
+    large = None
+    if n > local_rows:
+        rows, ranges = measure_ranges(counts, ["u", "v"], max(local_rows // 4, 1), RANGES)
+        if rows > local_rows:
+            large = problem.withColumns({f"g{c}": ranges[c].bucket(c) for c in ("u", "v")})
+    while large is not None:
+        placed = cut_lineage(large)
+        cells = cut_lineage(placed.groupBy("part", "gu", "gv").agg(F.sum("c").alias("c"), F.count("*").alias("rows")))
+        parts = parts.unionByName(cells.groupBy("part").applyInArrow(_count_histogram, schema))
+        problem, large = _parts(placed, "v", "c"), None
+        sizes = _parts(cells.withColumn("u", F.lit(0.0)), "rows").groupBy("part").agg(F.sum("rows").alias("rows"))
+        again = cut_lineage(sizes.where(F.col("rows") > local_rows).select("part"))
+        n_again = again.count()
+        if n_again:
+            again = F.broadcast(again) if n_again <= BROADCAST_PARTS else again
+            large = _place_inside(problem.join(again, "part", "left_semi"))
+            problem = problem.join(again, "part", "left_anti")
+        parts = parts.unionByName(problem.groupBy("part").applyInArrow(_count_range, schema))
+        problem = None
+    if problem is not None:
+        parts = parts.unionByName(problem.groupBy("part").applyInArrow(_count_range, schema))
+    per_truth = counts.groupBy("u").agg(F.sum("c").alias("c"))
     same_truth = per_truth.agg(F.sum(F.col("c") * F.col("c")).alias("s")).scalar()
     ordered = (F.lit(float(n)) * F.lit(float(n)) - same_truth) / 2.0
     value = (

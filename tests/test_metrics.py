@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +161,29 @@ def test_many_equal_scores_are_dealt_in_levels(spark):
     for tie_rows in (2, 100, 10_000):  # two levels, one level, none
         found = binary_metrics.auprc(frame(spark, labels, p), ["k"], tie_rows=tie_rows).first().auprc
         assert found == pytest.approx(expected, abs=1e-12)
+
+
+def test_all_regression_metrics_of_repeated_pairs(spark):
+    y, p = skewed()
+    found = regression_metrics.evaluate_regression(frame(spark, np.tile(y, 3), np.tile(p, 3))).first()
+    y, p = np.tile(y, 3), np.tile(p, 3)
+    rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    assert found.n_evaluated == 9000 and found.mse == pytest.approx(np.mean((y - p) ** 2)) and found.rmse == pytest.approx(found.mse ** 0.5)
+    assert found.pearson == pytest.approx(np.corrcoef(y, p)[0, 1], abs=1e-9)
+    assert found.spearman == pytest.approx(np.corrcoef(rank(y), rank(p))[0, 1], abs=1e-9)
+    assert found.ci == pytest.approx(brute_ci(y, p), abs=1e-12)
+
+
+def test_pairs_are_grouped_once_for_all_regression_metrics(spark):
+    plan = regression_metrics.evaluate_regression(frame(spark, *skewed()))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(y_hat#" in plan
+    assert not re.search(r"hashpartitioning\(y#\d+, y_hat#", plan)
+
+
+def test_ordered_values_are_merged_once(spark):
+    """Totals and the sums inside a bucket read one stored table instead of merging the values twice."""
+    data = spark.range(3000).select((F.col("id") % 1000).cast("double").alias("v"), F.lit(1).alias("w"))
+    _, ranges = measure_ranges(data, ["v"], 100)
+    found = prefix_sums(data.groupBy("v").agg(F.sum("w").alias("w")), "v", {"t": "w"}, ranges["v"])
+    assert "hashpartitioning(v#" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.v: r.t for r in found.collect()} == {float(v): 3 * (v + 1) for v in range(1000)}
