@@ -81,3 +81,17 @@ def test_bounds_leave_most_stripes_out(spark):
     assert rows(best.where("a = 'a7'")) == {r for r in brute(left.where("key = 'a7'"), right, set(), 5)}
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_known_pairs_of_a_task_are_few_and_travel_in_lists(spark, world, monkeypatch):
+    left, right, pairs = world
+    frames = []
+    monkeypatch.setattr(retrieval, "STRUCK", 60)
+    monkeypatch.setattr(retrieval, "packed", lambda frame, *args, pack=retrieval.packed: frames.append(frame) or pack(frame, *args))
+    found = rows(top_unknown(left, right, spark.createDataFrame(sorted(pairs), "a string, b string"), 4, stripe=40))
+    assert found == brute(left, right, pairs, 4)
+    sent = [f.where("others is not null") for f in frames if "others" in f.columns]
+    each = [r for f in sent for r in f.select("block", "stripe", "key", F.size("others").alias("n")).collect()]
+    assert sum(r.n for r in each) == sum(b in {x.key for x in right.collect()} for _, b in pairs)
+    assert len({(r.stripe, r.key) for r in each}) == len(each)  # one list for each left entity and stripe
+    assert len({r.block for r in each}) > 3  # all left entities would fit one block, but not their known pairs
