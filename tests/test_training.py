@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dyadic.operators.pairs import PairData
-from dyadic.predictors import char_encoder, factorization
+from dyadic.plans import catalog, model_queries
+from dyadic.predictors import char_encoder, factorization, gradients
 from dyadic.predictors.gradients import DealtPairs, squared_slope
 
 
@@ -69,3 +70,50 @@ def test_no_training_pairs(spark, world):
     factors, _, n = factorization.fit(empty, {"latent_dim": 2, "epochs": 2})
     assert n == 0 and factors.count() == 87
     assert factorization.predict(empty, data.pairs, {"latent_dim": 2, "epochs": 1}).scores.count() == data.size
+
+
+@pytest.mark.parametrize(("module", "config", "binary"), [
+    (factorization, {"latent_dim": 3, "epochs": 4, "lr": 2.0}, True),
+])
+def test_epochs_in_one_task_equal_epochs_over_cells(spark, world, monkeypatch, module, config, binary):
+    data, _ = world
+    if not binary:
+        data = data.with_pairs(data.pairs.withColumn("y", F.col("y") + F.length("a")))
+    found = []
+    for pairs_of_a_task in (gradients.ONE_TASK, 0):
+        monkeypatch.setattr(gradients, "ONE_TASK", pairs_of_a_task)
+        monkeypatch.setattr(gradients, "BLOCK", 20)
+        monkeypatch.setattr(gradients, "FEW_PAIRS", 50)
+        said = module.predict(data, None, config)
+        found.append((said.loss_history, {(r.a, r.b): r.y_hat for r in said.scores.collect()}))
+    (one, scores), (many, others) = found
+    assert len(one) == 4 and one == pytest.approx(many, abs=1e-12) and one[0] - one[-1] > 1e-4
+    assert scores.keys() == others.keys() and all(scores[k] == pytest.approx(others[k], abs=1e-12) for k in scores)
+
+
+@pytest.mark.parametrize(("name", "wanted"), [
+    ("predict_mf", {"epochs": 100, "latent_dim": 32}),
+])
+def test_trained_queries_take_every_epoch_of_their_model(spark, world, monkeypatch, name, wanted):
+    """The defaults of the models, in the query and in its SQL."""
+    data, rows = world
+    steps, widths = [], []
+
+    def counted(tables, pairs, slope):
+        steps.append(len(pairs[2]))
+        widths.append(tables["a"].shape[1])
+        return summed(tables, pairs, slope)
+
+    def here(self, entities, run):
+        table = entities.drop("key").toArrow().combine_chunks()
+        return spark.createDataFrame(run(table, gradients._pairs(spark.table(self.name).toArrow())).to_pandas())
+
+    summed = gradients.summed_slopes
+    monkeypatch.setattr(gradients, "summed_slopes", counted)
+    monkeypatch.setattr(gradients.DealtPairs, "in_the_cell", here)
+    monkeypatch.setattr(model_queries, "item_data", lambda *_: data)
+    assert catalog.QUERIES[name](spark, "").count() == len(rows)
+    assert steps == [len(rows)] * wanted["epochs"]
+    assert set(widths) == {wanted.get("latent_dim") or wanted["embedding_dim"] + 2}
+    last = wanted["epochs"]
+    assert ("ta%d " if "embedding_dim" in wanted else "a%d ") % last in catalog.ORACLES[name]
