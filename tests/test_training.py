@@ -92,7 +92,7 @@ def test_epochs_in_one_task_equal_epochs_over_cells(spark, world, monkeypatch, m
 
 
 @pytest.mark.parametrize(("name", "wanted"), [
-    ("predict_mf", {"epochs": 100, "latent_dim": 32}),
+    ("predict_mf", {"epochs": 100, "latent_dim": 32}), ("predict_cross_attention", {"epochs": 100, "latent_dim": 32}),
 ])
 def test_trained_queries_take_every_epoch_of_their_model(spark, world, monkeypatch, name, wanted):
     """The defaults of the models, in the query and in its SQL."""
