@@ -74,6 +74,8 @@ def test_no_training_pairs(spark, world):
 
 @pytest.mark.parametrize(("module", "config", "binary"), [
     (factorization, {"latent_dim": 3, "epochs": 4, "lr": 2.0}, True),
+    (char_encoder, {"embedding_dim": 8, "epochs": 4, "lr": 3.0, "l2": 0.01}, True),
+    (char_encoder, {"embedding_dim": 8, "epochs": 4, "lr": 0.5}, False),
 ])
 def test_epochs_in_one_task_equal_epochs_over_cells(spark, world, monkeypatch, module, config, binary):
     data, _ = world
@@ -93,6 +95,7 @@ def test_epochs_in_one_task_equal_epochs_over_cells(spark, world, monkeypatch, m
 
 @pytest.mark.parametrize(("name", "wanted"), [
     ("predict_mf", {"epochs": 100, "latent_dim": 32}), ("predict_cross_attention", {"epochs": 100, "latent_dim": 32}),
+    ("predict_char_encoder", {"epochs": 30, "embedding_dim": 64}),
 ])
 def test_trained_queries_take_every_epoch_of_their_model(spark, world, monkeypatch, name, wanted):
     """The defaults of the models, in the query and in its SQL."""
@@ -109,7 +112,8 @@ def test_trained_queries_take_every_epoch_of_their_model(spark, world, monkeypat
         return spark.createDataFrame(run(table, gradients._pairs(spark.table(self.name).toArrow())).to_pandas())
 
     summed = gradients.summed_slopes
-    monkeypatch.setattr(gradients, "summed_slopes", counted)
+    for module in (gradients, char_encoder):
+        monkeypatch.setattr(module, "summed_slopes", counted)
     monkeypatch.setattr(gradients.DealtPairs, "in_the_cell", here)
     monkeypatch.setattr(model_queries, "item_data", lambda *_: data)
     assert catalog.QUERIES[name](spark, "").count() == len(rows)
